@@ -252,15 +252,15 @@ def expand_pairs(members: DataFrame, links: DataFrame, key: str, expand: int = E
     """(response_a, response_b): linked pairs of keys. Classes of more than ``expand`` equal sets count as their
     representative, to which each further member is linked, since copies of one set are one class by membership."""
     sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
-    big = members.join(sizes.where(F.col("n") > expand), "class_id")
-    acting = members.join(big.select("class_id").distinct(), "class_id", "left_anti").unionByName(big.where(F.col(key) == F.col("class_id")).select(*members.columns))
-    acting = acting.select(F.col(key).alias("_k"), "class_id")
+    sized = materialize(members.join(sizes, "class_id").select(F.col(key).alias("_k"), "class_id", "n"), "copies")
+    acting = sized.where((F.col("n") <= expand) | (F.col("_k") == F.col("class_id")))
     x, y = acting.select(F.col("_k").alias("x"), F.col("class_id").alias("a")), acting.select(F.col("_k").alias("y"), F.col("class_id").alias("b"))
-    across = links.select("a", "b").join(x, "a").join(y, "b").select("x", "y")
-    multi = acting.join(sizes.where("n > 1").select("class_id"), "class_id", "left_semi")
+    # written before the union: joins under one union may differ in their numbers of partitions
+    across = materialize(links.select("a", "b").join(x, "a").join(y, "b").select("x", "y"), "across")
+    multi = acting.where((F.col("n") > 1) & (F.col("n") <= expand))
     p, q = multi.select(F.col("_k").alias("x"), "class_id"), multi.select(F.col("_k").alias("y"), "class_id")
-    within = p.join(q, "class_id").where("x < y").select("x", "y")
-    star = big.where(F.col(key) != F.col("class_id")).select(F.col("class_id").alias("x"), F.col(key).alias("y"))
+    within = materialize(p.join(q, "class_id").where("x < y").select("x", "y"), "within")
+    star = sized.where((F.col("n") > expand) & (F.col("_k") != F.col("class_id"))).select(F.col("class_id").alias("x"), F.col("_k").alias("y"))
     return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias("response_a"), F.greatest("x", "y").alias("response_b"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweir.llm import mix, neardup, pack, rank, split, tokens
+from lodeweir.llm import codefiles, mix, neardup, pack, rank, split, tokens, truncation
 from lodeweir.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,22 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(members, links, "response_id")
 
 
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    return codefiles.classify_code(table(spark, d, "document_texts"), table(spark, d, "document_rows"))
+
+
+@_query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Code records that are generated, minified, copied or data."""
+    return _code(spark, d).where("kind is not null").select("doc_id")
+
+
+@_query
+def p7_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Code records by kind."""
+    return _code(spark, d).groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind")).agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.round(F.avg("grammar"), 6).alias("grammar"))
+
+
 @_query
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every document in containers of every capacity."""
@@ -94,6 +110,18 @@ def p9_shares_full(spark: SparkSession, d: str) -> DataFrame:
     return mix.share_report(sizes, targets, total=int(total))
 
 
+@_query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text stops before its end."""
+    return truncation.truncation_evidence(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+@_query
+def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.truncation_by_source(truncation.truncation_evidence(table(spark, d, "documents")))
+
+
 _TOKENS = r"[^\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _GRAMS = r"""
 WITH w AS (SELECT response_id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}]+') AS w FROM document_responses
