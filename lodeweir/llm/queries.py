@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweir.llm import codefiles, mix, neardup, pack, rank, split, tokens, truncation
+from lodeweir.llm import codefiles, markup, mix, neardup, pack, rank, split, tokens, truncation
 from lodeweir.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,22 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(members, links, "response_id")
 
 
+def _clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_records(table(spark, d, "document_texts"), table(spark, d, "document_responses"), table(spark, d, "document_rows"))
+
+
+@_query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that carry markup."""
+    return _clean(spark, d).select("src_table", "record_id")
+
+
+@_query
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of all records that carry markup."""
+    return _clean(spark, d).select("src_table", "record_id", F.array_join("families", ",").alias("families"), "pieces", "clean_text")
+
+
 def _code(spark: SparkSession, d: str) -> DataFrame:
     return codefiles.classify_code(table(spark, d, "document_texts"), table(spark, d, "document_rows"))
 
