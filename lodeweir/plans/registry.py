@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from lodeweir.plans import core_queries, core_sql
+from pyspark.sql import DataFrame, SparkSession
 
+from lodeweir.plans import core_queries, core_sql, reference_queries
 
-def flagship(spark, sf_dir):
-    """The flagship query."""
-    return core_queries.p3_found(spark, sf_dir)
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-field keyword search of all judged queries."""
+    return reference_queries.bm25_keyword_topk(spark, sf_dir)
 
-def queries():
+
+def queries() -> dict:
     """Core queries by name."""
-    return dict(core_queries.QUERIES)
+    return {**core_queries.QUERIES, **reference_queries.QUERIES}
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     """SQL of the core queries."""
-    return dict(core_sql.SQL)
+    return {**core_sql.SQL, **reference_queries.SQL}
