@@ -33,7 +33,7 @@ def durable_items(update_runs: DataFrame, update_items: DataFrame) -> DataFrame:
     one row per run before the join; a run with most of the items is split by adaptive skew handling.
     """
     runs = update_runs.groupBy("run_id").agg(F.bool_or(F.coalesce(F.col("status") == "succeeded", F.lit(False))).alias("ok"), F.max("checkpoint_seq").alias("upto"))
-    kept = update_items.where("coalesce(outcome, '') <> 'extract_failed' and doc_id is not null")
+    kept = update_items.where("coalesce(outcome, '') <> 'extract_failed' and doc_id is not null").select("run_id", "item_seq", "doc_id", "hash", "processed_at")
     durable = kept.join(runs, "run_id").where("ok or item_seq <= upto")
     order = F.struct("processed_at", "run_id", "item_seq")
     return durable.groupBy("doc_id").agg(F.max_by(F.struct("hash", "processed_at"), order).alias("i")).select("doc_id", "i.hash", "i.processed_at")

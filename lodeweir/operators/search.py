@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweir.functions.text import analyzed_terms, contextual_text, cosine, distance_score, query_terms, retrieval_body
-from lodeweir.session import broadcast_if_small
+from lodeweir.functions.text import analyzed_terms, contextual_text, distance_score, query_terms, retrieval_body
+from lodeweir.session import broadcast_if_small, materialize
 
 #: BM25 parameters and field boosts, fusion and rerank constants.
 K1, B = 1.2, 0.75
@@ -37,9 +37,12 @@ class TextIndex:
 
     @classmethod
     def build(cls, entries: DataFrame) -> TextIndex:
-        """Index of entries with the searched fields; soft-deleted documents count, as their postings stay."""
+        """Index of entries with the searched fields; soft-deleted documents count, as their postings stay.
+
+        Texts are analysed once: the terms are written to the shared folder, and lengths, postings and statistics read them.
+        """
         fields = F.array(*[F.struct(F.lit(f).alias("field"), analyzed_terms(f).alias("terms")) for f in BOOSTS])
-        each = entries.select("space_name", "chunk_id", F.explode(fields).alias("x")).select("space_name", "chunk_id", "x.field", "x.terms")
+        each = materialize(entries.select("space_name", "chunk_id", F.explode(fields).alias("x")).select("space_name", "chunk_id", "x.field", "x.terms"), "terms")
         lengths = each.select("space_name", "field", "chunk_id", F.size("terms").cast("bigint").alias("len"))
         postings = each.select("space_name", "field", "chunk_id", F.size("terms").cast("bigint").alias("len"), F.explode("terms").alias("term")).groupBy("space_name", "field", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
         stats = lengths.groupBy("space_name", "field").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
@@ -103,20 +106,36 @@ def keyword_results(scores: DataFrame, limit: int, min_score: float = 0.0) -> Da
     return out.where(F.col("score") >= min_score).select("qid", "rank", "chunk_id", "space_name", "raw", "score")
 
 
-def knn_results(queries: DataFrame, vectors: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, rank, chunk_id, similarity, score): exact nearest neighbours of query vectors (qid, vector) among (chunk_id, vector).
+def unit(vector: str) -> Column:
+    """A vector of doubles divided by its norm; a zero vector stays zero, so that all its similarities are 0."""
+    v = F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
 
-    The query side is a stated set of vectors, broadcast in a checked size or joined in blocks otherwise; all vectors
-    are scanned once. ``allowed`` (chunk_id) filters before the top k.
+def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, chunk_id, similarity): cosine of each of a stated set of query vectors to all vectors; 0 for other dimensions.
+
+    Norms are taken once per vector; the query side is broadcast in a checked size, larger ones are joined in blocks.
     """
-    pool = vectors if allowed is None else vectors.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    q = queries.select("qid", F.col("vector").alias("_q"))
-    pairs = pool.crossJoin(broadcast_if_small(q, SMALL_QUERIES))
-    scored = pairs.select("qid", "chunk_id", cosine("_q", "vector").alias("similarity"))
-    best = top_k(scored, limit, ["qid"], [F.desc("similarity"), F.asc("chunk_id")])
+    q = queries.select("qid", unit("vector").alias("_q"))
+    pairs = vectors.select("chunk_id", unit("vector").alias("_v")).crossJoin(broadcast_if_small(q, SMALL_QUERIES))
+    dot = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return pairs.select("qid", "chunk_id", F.when(F.size("_q") == F.size("_v"), dot).otherwise(F.lit(0.0)).alias("similarity"))
+
+
+def nearest(pairs: DataFrame, limit: int) -> DataFrame:
+    """(qid, rank, chunk_id, similarity, score): the first ``limit`` of each query; ties within 1e-9 go to the lower chunk_id."""
+    best = top_k(pairs, limit, ["qid"], [F.desc(F.round("similarity", 9)), F.asc("chunk_id")])
     return best.select("qid", "rank", "chunk_id", "similarity", distance_score(1.0 - F.col("similarity")).alias("score"))
 
 
+def knn_results(queries: DataFrame, vectors: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Exact nearest neighbours of query vectors (qid, vector) among (chunk_id, vector); ``allowed`` (chunk_id) filters before the top k."""
+    pool = vectors if allowed is None else vectors.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return nearest(similarities(queries, pool), limit)
+
+
 def branch_lists(candidates: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Keyword and dense lists (qid, chunk_id, score, rank) of candidates with bm25 and dense, cut at ``limit``."""
     once = candidates.where("search_id is not null and chunk_id is not null").groupBy(F.col("search_id").alias("qid"), "chunk_id").agg(F.max("bm25").alias("bm25"), F.max("dense").alias("dense"))

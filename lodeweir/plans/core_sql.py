@@ -26,7 +26,7 @@ q AS (SELECT p.judgment_id, p.judged_at, p.doc_path, k.collection_id FROM p LEFT
 v AS (SELECT q.judgment_id, q.judged_at, q.collection_id, arg_max(d.active, (d.recorded_at, d.row_id)) AS active
       FROM q LEFT JOIN document_rows d ON d.collection_id = q.collection_id AND d.path = q.doc_path AND d.recorded_at <= q.judged_at GROUP BY 1, 2, 3),
 orphans AS (
-  SELECT DISTINCT 'document_rows' AS ref_table, d.row_id AS ref_id, d.recorded_at AS at FROM document_rows d
+  SELECT DISTINCT 'document_rows' AS ref_table, d.row_id AS ref_id, d.recorded_at AS ref_at FROM document_rows d
   WHERE d.collection_id IS NOT NULL AND d.recorded_at IS NOT NULL AND NOT EXISTS (
     SELECT 1 FROM cols k WHERE k.collection_id = d.collection_id AND k.created <= d.recorded_at AND (k.removed_at IS NULL OR k.removed_at > d.recorded_at))
   UNION
@@ -37,5 +37,5 @@ SQL = {
     "p1_found": _PENDING + "SELECT doc_id FROM pending",
     "p1_pending_by_month": _PENDING + "SELECT strftime(recorded_at, '%Y-%m') AS month, count(*) AS documents FROM pending GROUP BY 1",
     "p3_found": _ORPHANS + "SELECT ref_table, ref_id FROM orphans",
-    "p3_orphans_by_month": _ORPHANS + "SELECT ref_table, strftime(at, '%Y-%m') AS month, count(*) AS orphans FROM orphans GROUP BY 1, 2",
+    "p3_orphans_by_month": _ORPHANS + "SELECT ref_table, strftime(ref_at, '%Y-%m') AS month, count(*) AS orphans FROM orphans GROUP BY 1, 2",
 }

@@ -563,3 +563,103 @@ def star_pricing_summary(spark, d):
     return li.groupBy("l_returnflag", "l_linestatus").agg(
         F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc")
     )
+
+
+# -- extraction and chunks
+
+
+def _extracted(spark, d):
+    from lodeweir.operators.extract import extract_documents
+
+    t = table(spark, d, "document_texts").where("doc_id is not null").dropDuplicates(["doc_id"])
+    return extract_documents(t.select("doc_id", F.when(F.col("extractor_key") == "pdf", "txt").otherwise(F.col("extractor_key")).alias("extractor_key"), "text")), t.select("doc_id", "extractor_key")
+
+
+@query()
+def extract_blocks(spark, d):
+    """Blocks of all document texts by their extractors."""
+    docs, _ = _extracted(spark, d)
+    return docs.select("doc_id", F.posexplode("blocks").alias("block_no", "b")).select("doc_id", "block_no", "b.kind", "b.offset", "b.length", F.array_join("b.heading_path", " > ").alias("heading"))
+
+
+@query()
+def canonical_texts(spark, d):
+    """Titles and canonical texts."""
+    docs, _ = _extracted(spark, d)
+    return docs.select("doc_id", "title", "text", F.size("blocks").cast("bigint").alias("blocks"))
+
+
+@query()
+def chunk_pack(spark, d):
+    """Structure-aware chunks of all document texts."""
+    from lodeweir.operators.chunking import chunk_documents
+
+    docs, keys = _extracted(spark, d)
+    return chunk_documents(docs.join(keys, "doc_id").select("doc_id", "extractor_key", "text", "blocks"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> '') AS t FROM documents), c AS (SELECT doc_id, t, greatest(1, ceil((len(t) - 200) / 180.0)::BIGINT + 1) AS n FROM t WHERE len(t) > 0),
+w AS (SELECT doc_id, t, unnest(range(0, n)) AS "window" FROM c)
+SELECT doc_id, "window", "window" * 180 AS first_token, len(t["window" * 180 + 1 : "window" * 180 + 200]) AS tokens, array_to_string(t["window" * 180 + 1 : "window" * 180 + 200], ' ') AS text FROM w"""
+)
+def token_windows(spark, d):
+    """Windows of 200 tokens that share 20, of all documents."""
+    from lodeweir.operators.chunking import token_windows as windows
+
+    return windows(table(spark, d, "documents"), "doc_id", "text", 200, 20)
+
+
+@query("SELECT doc_id, i - 1 AS paragraph, trim(p, chr(10)) AS text FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n[ \\t]*(?:\\n[ \\t]*)+'), lambda p: trim(p, chr(10) || ' ' || chr(9)) <> '') AS l FROM documents WHERE text IS NOT NULL))")
+def paragraph_split(spark, d):
+    """Paragraphs of all documents, native."""
+    parts = F.filter(F.split("text", r"\n[ \t]*(?:\n[ \t]*)+"), lambda p: F.trim(p, F.lit("\n \t")) != "")
+    df = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(parts).alias("paragraph", "p"))
+    return df.select("doc_id", F.col("paragraph").cast("bigint").alias("paragraph"), F.trim(F.col("p"), F.lit("\n")).alias("text"))
+
+
+# -- freshness
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e) SELECT user_id, min(ts) AS first_event, max(ts) AS last_event, count(*) AS events FROM s GROUP BY user_id, s"""
+)
+def debounce_sessions(spark, d):
+    """Runs of events without six quiet hours."""
+    from lodeweir.streaming.watch import quiet_sessions
+
+    return quiet_sessions(table(spark, d, "events"), "user_id", "ts", 21_600_000)
+
+
+@query()
+def keyword_due_with_cap(spark, d):
+    """Refreshes after six quiet hours, or a day after the first change."""
+    from lodeweir.streaming.watch import due_refreshes
+
+    return due_refreshes(table(spark, d, "events"), "user_id", "ts", 21_600_000, 86_400_000)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS changes FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def change_windows(spark, d):
+    """Events per hour and type."""
+    from lodeweir.streaming.watch import change_counts
+
+    df = change_counts(table(spark, d, "events").where("ts is not null"), "event_type", "ts", "1 hour")
+    return df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query()
+def search_auto(spark, d):
+    """Hybrid search of all judged queries with neighbour context; vectors are those of a hashing embedder."""
+    from lodeweir.plans.demo_models import demo_engine
+
+    return demo_engine(spark, d)[0]
+
+
+@query()
+def search_deep_reranked(spark, d):
+    """Deep search with reranking of all judged queries."""
+    from lodeweir.plans.demo_models import demo_engine
+
+    return demo_engine(spark, d, "deep")[0]

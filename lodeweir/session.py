@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,16 @@ def spread(df: DataFrame, rows_hint_cols: list[str] | None = None) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only where a count proves that ``df`` has at most ``max_rows`` rows; else the plain frame."""
     return F.broadcast(df) if len(df.select(F.lit(1)).head(max_rows + 1)) <= max_rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        here = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lodeweir-')}/{here.name}", "zip", here.parent, here.name)
+        spark.sparkContext.addPyFile(archive)
