@@ -212,9 +212,9 @@ def clean(text: str, losing: frozenset[str] = frozenset()) -> str:
     t = re.sub(r"(?<=\w)\\\\(?=\s|$)", "", t)
     t = re.sub(rf"(?<![\w:\\])\\({_BARE})(?![A-Za-z\\])", lambda m: _SYMBOLS.get(m[1], ""), t)
     t = re.sub(r"([A-Za-z]{2,}\.?)~(?=[\d\[])", r"\1 ", t)
+    t = re.sub(r"^[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?", "", t, flags=re.MULTILINE)
     t = re.sub(r"^\{\|.*$|^\|\}.*$|^\|-.*$", "", t, flags=re.MULTILINE)
     t = re.sub(r"^[|!] ?(.*\|\|.*|.*)$", lambda m: re.sub(r"\s*\|+\s*", "  ", m[1]).strip(), t, flags=re.MULTILINE)
-    t = re.sub(r"^[ ]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?", "", t, flags=re.MULTILINE)
     t = re.sub(r"\{\{([^{}]*)\}\}", lambda m: re.sub(r"\s*\|\s*", ", ", m[1]), t).replace("{{", "")
     t = re.sub(r"#REDIRECT[ ]*|__[A-Z]{3,}__\n?|~{3,5}", "", t)
     t = re.sub(r"\[\[(?:[^\]\n|]*\|)?([^\]\n]*)\]\]", r"\1", t).replace("[[", "")
@@ -242,6 +242,7 @@ def clean(text: str, losing: frozenset[str] = frozenset()) -> str:
         t = re.sub(r"(?<![\w/\\.])_(?=[^\s_])([^_\n]+[^\s_])_(?![\w/.])", r"\1", t)
         t = re.sub(r"~~(?=[^\s~])([^~\n]+)~~", r"\1", t)
     t = re.sub(r"(?:(?<=^)|(?<=[\s(\"'>]))\*\*(?=[^\W\d])", "", t, flags=re.MULTILINE)
+    t = re.sub(r"[ \t]+$", "", t, flags=re.MULTILINE)
     t = re.sub(r"\n[ \t]+(?=\n)", "\n", re.sub(r"\n{3,}", "\n\n", t)).strip("\n")
     for _ in range(3):
         t = re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], t)

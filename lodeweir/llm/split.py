@@ -1,11 +1,11 @@
 """Splitting oversized texts at natural boundaries (problem 2), by byte ranges.
 
 A text is cut into byte ranges; workers see a range with a halo on either side and never the whole text. Atoms
-(tokens, further cut after ideographic full stops and at fixed byte offsets, so that giant tokens need no look-ahead)
-belong to the range in which they begin, which makes the ranges' boundary tables stitch without gaps. Each atom
-costs the larger of its share of the token limit and its share of the byte limit; prefix sums of the ranges' costs
-give every boundary its place on one axis per text. Cut k is the best boundary in a window around k times the
-step, found by the range that holds it alone, so that pieces of one giant text are cut in parallel.
+(tokens, further cut after ideographic full stops and at fixed byte offsets, as is white space, so that giant runs need no look-ahead)
+are the same from whatever range they are seen. A range's own segment runs from the first natural boundary in it to
+the first one behind it, which its neighbour finds as its beginning too: so the ranges' boundary tables stitch without
+gaps, each range cuts its segment alone, and the pieces of one giant text are made in parallel. Prefix sums over the ranges count
+tokens and number the pieces; texts are emitted by offset from the range that ends them.
 """
 
 from __future__ import annotations
@@ -41,11 +41,10 @@ def count_tokens(text: str) -> int:
     return len(_TOKEN.findall(text))
 
 
-def atom_table(raw: bytes, base: int, begin: int, end: int, atom_bytes: int, hard_tokens: int, hard_bytes: int) -> pd.DataFrame:
-    """Atoms of the slice ``raw`` (absolute offset ``base``) that begin in [begin, end): start, stop, rank, token, cost.
+def atom_table(raw: bytes, base: int, begin: int, end: int, atom_bytes: int) -> pd.DataFrame:
+    """Atoms of the slice ``raw`` (absolute offset ``base``) that begin before ``end``: start, stop, rank, token.
 
-    Offsets are absolute bytes; ``token`` is true where the atom begins a token. Atoms of the halo before ``begin``
-    are returned too (own is false), for the overlap of pieces that start there.
+    Offsets are absolute bytes; ``token`` is true where the atom begins a token, ``rank`` tells what ends it.
     """
     lead = 0
     while base > 0 and lead < len(raw) and raw[lead] & 0xC0 == 0x80:
@@ -54,8 +53,22 @@ def atom_table(raw: bytes, base: int, begin: int, end: int, atom_bytes: int, har
     at = np.frombuffer(raw, np.uint8)[lead:]
     places = np.append(np.flatnonzero((at & 0xC0) != 0x80), len(at)) + base + lead
     starts, stops, ranks, tokens = [], [], [], []
+
+    def white(a: int, b: int) -> None:
+        """Atoms of a run of white space [a, b): one from each fixed offset on; what comes before belongs to the token."""
+        at = [a] if a == 0 and base == 0 and b else []
+        at += [j for m in range(int(places[a]) // atom_bytes + 1, int(places[b] - 1) // atom_bytes + 1) if (j := int(np.searchsorted(places, m * atom_bytes))) < b]
+        for j, k in zip(at, [*at[1:], b][: len(at)], strict=True):
+            starts.append(places[j])
+            stops.append(places[k])
+            tokens.append(False)
+            ranks.append(LINE if _LINE.search(text[j:k]) else WORD)
+
+    end_of_last = 0
     for token in _TOKEN.finditer(text):
         fresh = True
+        white(end_of_last, token.start())
+        end_of_last = token.end()
         for part in _BOUNDARY.finditer(text, token.start(), token.end()):
             a, b = part.span()
             cut = (places[a] // atom_bytes + 1) * atom_bytes
@@ -78,12 +91,10 @@ def atom_table(raw: bytes, base: int, begin: int, end: int, atom_bytes: int, har
                     word = text[max(token.start(), token.end() - 24) : token.end()]
                     ranks.append(BLOCK if _BLOCK.search(gap) else LINE if _LINE.search(gap) else SENTENCE if _SENTENCE.search(word) else CLAUSE if _CLAUSE.search(word) else WORD)
                 a = stop
+    white(end_of_last, len(text))
     out = pd.DataFrame({"start": np.array(starts, "int64"), "stop": np.array(stops, "int64"), "rank": np.array(ranks, "int64"), "token": np.array(tokens, bool)})
-    following = np.append(out["start"].to_numpy()[1:], out["stop"].to_numpy()[-1:])
-    out["cost"] = np.maximum(out["token"] / hard_tokens, (following - out["start"]) / hard_bytes)
     if base > 0 and len(out) and begin > base:
         out = out.iloc[1:]  # its beginning may lie before the slice
-    out["own"] = (out["start"] >= begin) & (out["start"] < end)
     return out[out["start"] < end].reset_index(drop=True)
 
 
@@ -91,57 +102,93 @@ def _atom_bytes(hard_bytes: int) -> int:
     return max(16, hard_bytes // 16)
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            t = atom_table(bytes(r.raw), r.base, r.begin, r.end, _atom_bytes(r.hard_max_bytes), r.hard_max_tokens, r.hard_max_bytes)
-            own = t[t["own"]]
-            rows.append((r.chunk_id, r.range_no, float(own["cost"].sum()), int(own["token"].sum())))
-        yield pd.DataFrame(rows, columns=["chunk_id", "range_no", "cost", "tokens"])
-
-
-def plan_steps(total: float, hard_tokens: int, target_tokens: int, overlap_tokens: int) -> tuple[int, float, float, float]:
-    """(pieces, step, half a window, most overlap) on the cost axis: step + window + overlap stay within 1."""
-    overlap = min(1.6 * overlap_tokens / hard_tokens, 0.3)
-    step = min(max((target_tokens - overlap_tokens) / hard_tokens, 0.3), 0.9 - overlap)
-    pieces = max(2, int(np.ceil(total / step)))
-    step = total / pieces
-    return pieces, step, min((0.98 - overlap - step) / 2, step * 0.49), overlap
+def _token_starts(raw: bytes, base: int, begin: int, end: int) -> int:
+    """Tokens that begin in [begin, end) of a slice that starts at ``base``."""
+    left, right = begin - base, end - base
+    while 0 < left < len(raw) and raw[left] & 0xC0 == 0x80:
+        left += 1
+    while right < len(raw) and raw[right] & 0xC0 == 0x80:
+        right += 1
+    own = raw[left:right].decode("utf-8", "ignore")
+    before = raw[max(0, left - 4) : left].decode("utf-8", "ignore")[-1:]
+    return count_tokens(own) - bool(before and own and _TOKEN.match(before) and _TOKEN.match(own))
 
 
-def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(r.chunk_id, r.range_no, _token_starts(bytes(r.raw), r.base, r.begin, r.end)) for r in pdf.itertuples(index=False)]
+        yield pd.DataFrame(rows, columns=["chunk_id", "range_no", "tokens"])
+
+
+def _anchor(t: pd.DataFrame, at: int, within: int) -> int:
+    """First atom that begins at or after ``at``, behind a natural boundary if there is one within so many bytes."""
+    start, rank = t["start"].to_numpy(), t["rank"].to_numpy()
+    first = int(np.searchsorted(start, at))
+    for k in range(first, len(t)):
+        if start[k] > at + within:
+            break
+        if k and rank[k - 1] >= NATURAL:
+            return k
+    return first
+
+
+def cut_segment(t: pd.DataFrame, first: int, last: int, begin: int, end: int, target: int, hard_tokens: int, overlap: int, hard_bytes: int) -> list[tuple[int, int, int]]:
+    """(start, stop, rank) of the pieces of atoms [first, last), which fill bytes [begin, end); see split_oversized."""
+    start, stop, rank, token = (t[c].to_numpy() for c in ("start", "stop", "rank", "token"))
+    seen = np.append(0, np.cumsum(token))
+    out, at, begin_at = [], first, begin  # the next new atom; where the piece starts
+    lead = first
+    overlap = min(overlap, hard_tokens - 1)
+
+    def step_back(k: int) -> int:
+        """Atom at which the overlap before atom k starts."""
+        got, j = 0, k
+        for i in range(k - 1, -1, -1):
+            if got == overlap or stop[k - 1] - start[i] > hard_bytes // 3:
+                break
+            if token[i]:
+                got, j = got + 1, i
+        return j
+
+    if first and begin:
+        lead = step_back(first)
+        begin_at = int(start[lead]) if lead < first else begin
+    while at < last:
+        inside = 0 if token[lead] or lead == 0 or rank[lead - 1] != INSIDE else 1
+        fits = int(np.searchsorted(stop[at:last], begin_at + hard_bytes, "right")) + at
+        fits = min(fits, int(np.searchsorted(seen[at + 1 : last + 1], seen[lead] + hard_tokens - inside, "right")) + at)
+        fits = max(fits, at + 1)
+        if fits >= last:
+            out.append((begin_at, end, int(rank[last - 1])))
+            break
+        k = np.arange(at, fits)
+        r = rank[k]
+        kind = np.where(r >= NATURAL, 3.0 + 0.02 * r, r)
+        along = np.maximum((seen[k + 1] - seen[lead]) / target, (stop[k] - begin_at) / max(1.0, hard_bytes * target / hard_tokens))
+        best = int(k[np.argmax(kind * 4 - np.abs(along - 1))])
+        out.append((begin_at, int(stop[best]), int(rank[best])))
+        at = best + 1
+        lead = step_back(at)
+        begin_at = int(start[lead]) if lead < at else int(stop[best])
+    return out
+
+
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
-            t = atom_table(bytes(r.raw), r.base, r.begin, r.end, _atom_bytes(r.hard_max_bytes), r.hard_max_tokens, r.hard_max_bytes)
-            pieces, step, half, most = plan_steps(r.total_cost, r.hard_max_tokens, r.target_tokens, r.overlap_tokens)
-            cost, own = t["cost"].to_numpy(), t["own"].to_numpy()
-            first = int(own.argmax()) if own.any() else len(t)
-            along = r.before_cost + np.cumsum(np.where(own, cost, 0.0))
-            rank, start, stop, token = (t[c].to_numpy() for c in ("rank", "start", "stop", "token"))
-            for k in range(max(1, int((r.before_cost - half) / step)), pieces):
-                if k * step - half > along[-1] if len(along) else True:
-                    break
-                inside = np.flatnonzero(own & (along >= k * step - half) & (along <= k * step + half))
-                if not len(inside):
-                    inside = np.array([j for j in [int(np.searchsorted(along[first:], k * step)) + first] if j < len(t) and own[j] and r.before_cost < k * step])
-                if not len(inside):
-                    continue
-                away = np.abs(along[inside] - k * step)
-                natural = rank[inside] >= NATURAL
-                best = inside[np.lexsort((away, -(rank[inside] * 0.02 - away / max(half, 1e-9) * 0.05), -np.where(natural, NATURAL, rank[inside])))[0]]
-                back, seen, spent = best, 0, 0.0
-                for j in range(best, -1, -1):
-                    spent += cost[j]
-                    if seen == r.overlap_tokens or spent > most:
-                        break
-                    if token[j]:
-                        seen, back = seen + 1, j
-                resume = int(start[back]) if seen and r.overlap_tokens else int(stop[best])
-                score = float(-away[np.flatnonzero(inside == best)[0]])
-                rows.append((r.chunk_id, k, int(r.range_no), int(min(rank[best], NATURAL)), score, int(stop[best]), resume, int(rank[best])))
-        yield pd.DataFrame(rows, columns=["chunk_id", "k", "range_no", "natural", "score", "stop", "resume", "rank"])
+            raw = bytes(r.raw)
+            t = atom_table(raw, r.base, r.begin, r.base + len(raw), _atom_bytes(r.hard_max_bytes))
+            first = 0 if r.begin == 0 else _anchor(t, r.begin, r.hard_max_bytes)
+            last = len(t) if r.end >= r.bytes else _anchor(t, r.end, r.hard_max_bytes)
+            if first >= last:
+                continue
+            begin = 0 if r.begin == 0 else int(t["stop"].iloc[first - 1])
+            end = r.bytes if last == len(t) and r.base + len(raw) >= r.bytes else int(t["stop"].iloc[last - 1])
+            for k, (a, b, rank) in enumerate(cut_segment(t, first, last, begin, end, r.target_tokens, r.hard_max_tokens, r.overlap_tokens, r.hard_max_bytes)):
+                text = raw[a - r.base : b - r.base].decode()
+                rows.append((r.chunk_id, r.range_no, k, a, b - a, count_tokens(text), NAMES[rank if b < r.bytes else BLOCK], text))
+        yield pd.DataFrame(rows, columns=["chunk_id", "range_no", "k", "chunk_offset", "byte_length", "tokens", "ends_at", "text"])
 
 
 def _ranges(chunks: DataFrame, range_bytes: int) -> DataFrame:
@@ -156,44 +203,26 @@ def split_oversized(chunks: DataFrame, policies: DataFrame, range_bytes: int = R
     """Pieces of every chunk over the limits of its extractor, each chunk_id once.
 
     Columns: chunk_id, doc_id, seq, piece (from 0), byte_offset (in the document, null where the chunk has none),
-    chunk_offset (bytes in the chunk), byte_length, tokens, heading, kind, ends_at, text. Pieces end at a sentence,
-    line or block where the window around their end has one, else at a clause or word, and inside a token only
-    where a token alone exceeds the window. Consecutive pieces share overlap_tokens tokens, fewer only where these
-    would take more than a third of the limits. Chunks with null text or id, or without a policy, have no limits and no
-    pieces; of repeated rows of one chunk_id one counts. Further columns of either table are left out.
+    chunk_offset (bytes in the chunk), byte_length, tokens, heading, kind, ends_at, text. A piece ends at the sentence,
+    line or block end within the limits that lies nearest to the target, else at a clause, else at a word, and inside a token
+    only where that alone exceeds the limits. Consecutive pieces share overlap_tokens tokens, fewer only where these would take
+    more than a third of the bytes. Together the pieces cover the chunk. Chunks with null text or id, or without a policy,
+    have no limits and no pieces; of repeated rows of one chunk_id one counts. Further columns of either table are left out.
     """
     limits = policies.where("extractor_key is not null").groupBy("extractor_key").agg(*[F.max(F.col(c).cast("bigint")).alias(c) for c in ("target_tokens", "hard_max_tokens", "overlap_tokens", "hard_max_bytes")])
     base = chunks.where("chunk_id is not null and text is not null").select("chunk_id", "doc_id", "seq", "byte_offset", "heading", "kind", "extractor_key", "text")
     maybe = base.join(F.broadcast(limits) if len(limits.head(1001)) <= 1000 else limits, "extractor_key").where("octet_length(text) > hard_max_bytes or octet_length(text) > 2 * hard_max_tokens")
-    ranges = _ranges(maybe.withColumn("_bin", F.encode("text", "UTF-8")), range_bytes)
-    sized = ranges.select("chunk_id", "range_no", "base", "begin", "end", "raw", "hard_max_tokens", "hard_max_bytes", F.octet_length("_bin").cast("bigint").alias("bytes"), "overlap_tokens", "target_tokens")
-    measured = sized.select("chunk_id", "range_no", "base", "begin", "end", "raw", "hard_max_tokens", "hard_max_bytes").mapInPandas(_measure, "chunk_id bigint, range_no bigint, cost double, tokens bigint")
-    measured = measured.groupBy("chunk_id", "range_no").agg(F.max("cost").alias("cost"), F.max("tokens").alias("tokens"))
-    order, whole = Window.partitionBy("chunk_id").orderBy("range_no"), Window.partitionBy("chunk_id")
-    placed = measured.select(
-        F.col("chunk_id").alias("_id"), F.col("range_no").alias("_no"),
-        (F.sum("cost").over(order) - F.col("cost")).alias("before_cost"), F.sum("cost").over(whole).alias("total_cost"), F.sum("tokens").over(whole).alias("total_tokens"),
+    sized = _ranges(maybe.withColumn("_bin", F.encode("text", "UTF-8")), range_bytes).select(
+        "chunk_id", "range_no", "base", "begin", "end", "raw", "hard_max_tokens", "hard_max_bytes", "overlap_tokens", "target_tokens", F.octet_length("_bin").cast("bigint").alias("bytes")
     )
-    over = (
-        sized.join(placed, (F.col("chunk_id") == F.col("_id")) & (F.col("range_no") == F.col("_no")))
-        .where("bytes > hard_max_bytes or total_tokens > hard_max_tokens")
-        .drop("_id", "_no")
-        .dropDuplicates(["chunk_id", "range_no"])
-    )
-    over = materialize(over, "split")  # only the ranges of oversized texts; three steps read them
-    cuts = over.select("chunk_id", "range_no", "base", "begin", "end", "raw", "hard_max_tokens", "hard_max_bytes", "target_tokens", "overlap_tokens", "before_cost", "total_cost").mapInPandas(
-        _choose, "chunk_id bigint, k bigint, range_no bigint, natural int, score double, stop bigint, resume bigint, rank int"
-    )
-    cuts = cuts.groupBy("chunk_id", "k").agg(F.max_by(F.struct("stop", "resume", "rank"), F.struct("natural", "score", "stop")).alias("c")).select("chunk_id", "c.*")
-    ends = over.groupBy("chunk_id").agg(F.max("bytes").alias("stop")).select("chunk_id", "stop", F.col("stop").alias("resume"), F.lit(BLOCK).alias("rank"))
-    by = Window.partitionBy("chunk_id").orderBy("stop")
-    pieces = cuts.unionByName(ends).withColumns({"start": F.coalesce(F.lag("resume").over(by), F.lit(0)), "piece": F.row_number().over(by) - 1})
-    pieces = pieces.withColumn("range_no", F.floor((F.greatest("stop", F.lit(1)) - 1) / range_bytes))
-    text = F.decode(F.expr("substring(raw, cast(start - base + 1 as int), cast(stop - start as int))"), "UTF-8")
-    cut = pieces.join(over.select("chunk_id", "range_no", "raw", "base"), ["chunk_id", "range_no"]).select("chunk_id", "piece", F.col("start").alias("chunk_offset"), (F.col("stop") - F.col("start")).alias("byte_length"), "rank", text.alias("text"))
+    measured = sized.select("chunk_id", "range_no", "base", "begin", "end", "raw").mapInPandas(_measure, "chunk_id bigint, range_no bigint, tokens bigint")
+    totals = measured.groupBy("chunk_id", "range_no").agg(F.max("tokens").alias("tokens")).groupBy(F.col("chunk_id").alias("_id")).agg(F.sum("tokens").alias("total"))
+    over = sized.join(totals, F.col("chunk_id") == F.col("_id")).where("bytes > hard_max_bytes or total > hard_max_tokens").drop("_id", "total")
+    over = over.dropDuplicates(["chunk_id", "range_no"])
+    pieces = materialize(over.mapInPandas(_cut, "chunk_id bigint, range_no bigint, k bigint, chunk_offset bigint, byte_length bigint, tokens bigint, ends_at string, text string"), "pieces")
+    order = Window.partitionBy("chunk_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    numbers = pieces.groupBy("chunk_id", "range_no").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
     head = maybe.select("chunk_id", "doc_id", "seq", "byte_offset", "heading", "kind").dropDuplicates(["chunk_id"])
-    tokens = F.regexp_count("text", F.lit(r"\P{IsWhite_Space}+")).cast("bigint")
-    name = F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), F.col("rank"))
-    return cut.join(head, "chunk_id").select(
-        "chunk_id", "doc_id", "seq", "piece", (F.col("byte_offset") + F.col("chunk_offset")).alias("byte_offset"), "chunk_offset", "byte_length", tokens.alias("tokens"), "heading", "kind", name.alias("ends_at"), "text"
-    )
+    return pieces.join(numbers, ["chunk_id", "range_no"]).join(head, "chunk_id").select(
+        "chunk_id", "doc_id", "seq", (F.col("before") + F.col("k")).alias("piece"), (F.col("byte_offset") + F.col("chunk_offset")).alias("byte_offset"), "chunk_offset", "byte_length", "tokens", "heading", "kind", "ends_at", "text"
+    )

@@ -22,7 +22,7 @@ _STAMP = re.compile(r"^(?:\d{4}-\d\d-\d\d[T ][\d:.,]+\s+(?:[A-Z]+\s+)?\S+:\s*|[Q
 #: Marks that say that the rest was left out, at the very end of a text.
 _MARK = re.compile(
     r"(?:\[(?:\.\.\.|…)\]|\((?:\.\.\.|…)\)|\[(?:truncated|cut|snip|continued|more)\]|<(?:snip|cut|truncated|more)>|\[output cut[^\]\n]*\]|\[[^\]\n]*\b(?:omitted|truncated)\]|\(\+\s?\d+ more [^)\n]*\)"
-    r"|(?:\.\.\.|…)\s*\(?(?:continued|cont\.?|more|read more|show more)\)?|(?<=[\s.…])\(continued\)|(?<=[.!?…\w])\s+(?:Read|Show) more(?:\.\.\.|…)?)\s*$",
+    r"|(?:\.\.\.|…)\s*\(?(?:continued|cont\.?|more|read more|show more)\)?|(?<=[.!?…\w])\s+(?:Read|Show) more(?:\.\.\.|…)?)\s*$",
     re.IGNORECASE,
 )
 _ELLIPSIS = re.compile(r"\s?(?:\.\.\.|…)\s*$")
