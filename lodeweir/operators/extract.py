@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Extractor versions and extensions.
-VERSIONS = {"html": 4, "md": 2, "txt": 1, "code": 1}
+VERSIONS = {"html": 4, "md": 2, "pdf": 2, "txt": 1, "code": 1}
 EXTENSIONS = {
     "txt": "txt text log",
     "md": "md markdown mdown mkd",
@@ -65,6 +65,30 @@ def code_blocks(text: str, language: str = "") -> tuple[str | None, list[dict]]:
     return None, [_block("CodeFence", text, text, 0, len(text), [], {"language": language})] if text else []
 
 
+def pdf_paragraphs(text: str) -> tuple[str | None, list[dict]]:
+    """Paragraphs of the text of a PDF: lines without trailing space, grouped by empty ones, joined by empty lines; no text is an error."""
+    groups = [g.strip("\n") for g in re.split(r"\n(?:[ \t]*\n)+", "\n".join(x.rstrip() for x in text.replace("\r\n", "\n").split("\n")))]
+    out, at = [], 0
+    for g in (g for g in groups if g.strip()):
+        n = len(g.encode())
+        out.append({"kind": "Paragraph", "text": g, "offset": at, "length": n, "heading_path": [], "attrs": {}})
+        at += n + 2
+    if not out:
+        raise ValueError("the PDF has no text")
+    return None, out
+
+
+def pdf_blocks(content: bytes) -> tuple[str | None, list[dict]]:
+    """Paragraphs of a PDF; needs the optional package pypdf."""
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs pypdf") from e
+    import io
+
+    return pdf_paragraphs("\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages))
+
+
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*#*[ \t]*$")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*([^\s`]*)")
 _ITEM = re.compile(r"^(\s*)(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodeweir.functions import text as T
 from lodeweir.operators import catalog as C
 from lodeweir.operators.chunking import ChunkPolicy, chunk_blocks, count_tokens, generation_key, resolve_policy, token_windows
-from lodeweir.operators.extract import canonical, extract_documents, html_blocks, markdown_blocks, plaintext_blocks
+from lodeweir.operators.extract import canonical, extract_documents, html_blocks, markdown_blocks, pdf_paragraphs, plaintext_blocks
 from lodeweir.operators.reads import budgeted_take
 from lodeweir.plans.engine import embed_backlog, get_documents, snippet
 from lodeweir.sources import evalsets, files
@@ -21,6 +21,13 @@ def test_plaintext():
     assert kinds(b) == [("Paragraph", "one\nstill"), ("Paragraph", "two é")] and b[1]["length"] == 6
 
 
+def test_pdf_text():
+    _, b = pdf_paragraphs("one  \r\ntwo\n \n\nthree")
+    assert [(x["text"], x["offset"]) for x in b] == [("one\ntwo", 0), ("three", 9)]
+    with pytest.raises(ValueError):
+        pdf_paragraphs(" \n ")
+
+
 def test_markdown():
     title, b = markdown_blocks("# Top\nintro\n\n## Sub\n- a\n- b\n  more\n\n> quote\n> two\n\n```py\ncode\n\nx\n```\n\n| h | i |\n|---|---|\n| 1 | 2 |\n\nUnder\n=====\nlast")
     assert title == "Top"
