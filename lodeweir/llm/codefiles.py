@@ -16,10 +16,11 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/=]{40,}|0[xX][0-9a-fA-F]+|[^\W\d]\w*|\d[\d_.]*
 _DIGITS = re.compile(r"\d+")
 #: Folders that hold copies of other packages.
 _VENDORED_PATH = re.compile(r"(?:^|/)(?:third[_-]?party|3rd[_-]?party|vendor(?:ed|s)?|node_modules|bower_components|deps|external|externals|contrib/libs|site-packages|jspm_packages|Godeps|Pods|Carthage)/[^/]+/", re.IGNORECASE)
-#: What files say of themselves in their first comment lines.
+#: What files say of themselves in their first or last comment lines.
 _SAYS_GENERATED = re.compile(
     r"\bcode generated by\b|@generated\b|\b(?:auto-?generated|automatically generated)\b(?!.{0,40}\b(?:counterpart|elsewhere)\b)|\bgenerated (?:from|by|with|using|on)\b.{0,120}|\b(?:produced|created|written|built) automatically\b"
-    r"|\b(?:manual |hand )?(?:changes|edits|modifications)\b.{0,40}\b(?:lost|overwritten|discarded)\b|\bthis file (?:is|was) (?:auto-?)?generated\b|\b(?:re-?generated|rebuilt) (?:on|by|with|from|at|during)\b",
+    r"|\b(?:manual |hand )?(?:changes|edits|modifications)\b.{0,40}\b(?:lost|overwritten|discarded)\b|\bthis file (?:is|was) (?:auto-?)?generated\b|\b(?:re-?generated|rebuilt) (?:on|by|with|from|at|during)\b"
+    r"|\bmachine[- ](?:written|generated|made|produced)\b|\b(?:written|emitted|produced|made) by (?:the |an? )?(?:[\w-]+ ){0,3}(?:compiler|generator|codegen)\b",
     re.IGNORECASE,
 )
 _NOT_GENERATED = re.compile(r"\bnot (?:auto-?)?generated\b|\bgenerated (?:counterpart|files? (?:lives?|are))\b|\bhand-?written\b|\bwritten and maintained by\b|\bcode that\b", re.IGNORECASE)
@@ -100,9 +101,10 @@ def repair(symbols: np.ndarray, files: np.ndarray, rounds: int = 24) -> tuple[np
 
 
 def header_says(text: str) -> tuple[bool, bool]:
-    """(generated, vendored) as the first comment lines say."""
+    """(generated, vendored) as the first and last comment lines say."""
     generated = vendored = False
-    for k, line in enumerate(text[:4000].split("\n")[:12]):
+    lines = text.strip().split("\n")
+    for k, line in enumerate([*lines[:12], *lines[max(12, len(lines) - 4) :]]):
         m = _COMMENT.match(line)
         if not m:
             continue
@@ -174,7 +176,7 @@ def classify_code(document_texts: DataFrame, document_rows: DataFrame) -> DataFr
     """(doc_id, path, kind, grammar, ...) of every code record; kind is null for hand-written source.
 
     Kinds, the first that applies: ``generated`` (the grammar is small against the file, its rules being used over and
-    over, or its first comments say so), ``minified`` (hardly any white space, names of one letter), ``data``
+    over, or its first or last comments say so), ``minified`` (hardly any white space, names of one letter), ``data``
     (mainly numbers or literals that no grammar compresses), ``vendored`` (a folder or banner of another package,
     or rules most of which other repositories have too). The path and the repository (collection) are those of the
     newest row of the document; records without one are judged by their text. Null texts and other extractors are left
