@@ -26,7 +26,11 @@ _MARK = re.compile(
     re.IGNORECASE,
 )
 _ELLIPSIS = re.compile(r"\s?(?:\.\.\.|…)\s*$")
-_CODE_LINE = re.compile(r"[{};]\s*$|^\s*(?:def |class |for |while |if |return\b|import |from |fn |func |function |local |#include|use |export |static |log\()|^\s+\w+ [-+*]?= ", re.MULTILINE)
+_CODE_LINE = re.compile(
+    r"[{};]\s*$|^\s*(?:def \w|class \w+[(:]|(?:if|for|while|elif|else)\b[^\n]*[:{(;]\s*$|return\b|import [\w.{*\"']+|from [\w.]+ import|(?:fn|func|function) \w+\(|local \w+=|#include|use \w+::|export |static \w|log\()|^\s+\w+ [-+*]?= ",
+    re.MULTILINE,
+)
+_COMMENT_LINE = re.compile(r"^\s*(?://|#(?!include))")
 #: Least share of sentences with a full stop that makes a kind of sentence, or an author, one that sets them.
 SETS_STOPS = 0.7
 #: A word that ends a sentence or line less often than this, of at least so many occurrences, ends no text.
@@ -72,7 +76,7 @@ def _plain(w: str) -> str:
 
 def ending(text: str | None) -> dict:
     """What the end of a text shows by itself."""
-    out = {"mark": False, "broken": False, "ellipsis": False, "stopped": True, "tail": "", "last": "", "item": False, "starter": "", "author": -1.0, "inline": False, "brief": False, "code": False, "open_code": False}
+    out = {"mark": False, "broken": False, "ellipsis": False, "stopped": True, "tail": "", "last": "", "item": False, "starter": "", "author": -1.0, "inline": False, "brief": False, "code": False, "in_number": False, "open_code": False}
     if not text or not text.strip():
         return out
     t = text.rstrip()
@@ -92,7 +96,7 @@ def ending(text: str | None) -> dict:
     out["item"] = bool(_ITEM.match(line))
     above = lines[-2].split() if len(lines) > 1 else []
     out["brief"] = len(line.split()) <= 3 and not re.search(r"\d", line) and 0 < len(above) <= 3
-    pieces = [p for p in _SENTENCES.split(_STAMP.sub("", line)) if p and p.strip()]
+    pieces = [p for p in _SENTENCES.split(_COMMENT_LINE.sub("", _STAMP.sub("", line)).lstrip()) if p and p.strip()]
     out["inline"] = len(pieces) > 1
     if pieces:
         start = _STARTER.match(pieces[-1])
@@ -102,13 +106,14 @@ def ending(text: str | None) -> dict:
     if prose:
         out["author"] = sum(bool(_STOP.search(p)) for p in prose) / len(prose)
     code = t[-4000:]
-    out["code"] = len(_CODE_LINE.findall(code)) >= 2 and bool(_CODE_LINE.search("\n".join(lines[-3:])))
+    out["code"] = len(_CODE_LINE.findall(code)) >= 2 and bool(_CODE_LINE.search("\n".join(lines[-3:]))) and not _COMMENT_LINE.match(line)
+    out["in_number"] = bool(re.search(r"\d\.$", t))
     fences = len(re.findall(r"^\s*```", t, re.MULTILINE)) % 2 == 1
     out["open_code"] = fences or (t.count("{") > t.count("}") and len(_CODE_LINE.findall(t)) >= 2)
     return out
 
 
-_FEATURES = "doc_id bigint, source string, n bigint, b bigint, announced bigint, mark boolean, broken boolean, ellipsis boolean, stopped boolean, tail string, last string, item boolean, starter string, author double, inline boolean, brief boolean, code boolean, open_code boolean"
+_FEATURES = "doc_id bigint, source string, n bigint, b bigint, announced bigint, mark boolean, broken boolean, ellipsis boolean, stopped boolean, tail string, last string, item boolean, starter string, author double, inline boolean, brief boolean, code boolean, in_number boolean, open_code boolean"
 
 
 def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +181,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
         .when(loose & never, "clause")
         .when(loose & ~F.col("item") & ~F.col("code") & (F.col("author") >= SETS_STOPS) & (F.col("inline") | prose), "clause")
         .when(loose & F.col("at_limit") & ~F.col("item") & ~F.col("code") & ~F.col("brief"), "field limit")
-        .when((loose | F.col("ellipsis")) & F.col("short"), "announced length")
+        .when((loose | F.col("ellipsis") | F.col("in_number")) & F.col("short"), "announced length")
     )
     return df.select("doc_id", "source", reason.alias("reason"), "at_limit", "short", "tail", "last", "author").withColumn("cut", F.col("reason").isNotNull())
 
