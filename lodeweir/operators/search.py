@@ -87,7 +87,7 @@ def bm25_scores(queries: DataFrame, index: TextIndex, scope: DataFrame | None =
     df = hits.groupBy("space_name", "field", "term").agg(F.count("*").alias("df"))
     boost = F.element_at(F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair]), F.col("field"))
     norm = F.col("tf") + K1 * (1.0 - B + B * F.col("len") / F.col("avg_len"))
-    weighted = hits.join(df, ["space_name", "field", "term"]).join(F.broadcast(index.stats), ["space_name", "field"])  # statistics: a row per space and field
+    weighted = hits.join(df, ["space_name", "field", "term"]).join(broadcast_if_small(index.stats, SMALL_QUERIES), ["space_name", "field"])
     weighted = weighted.select("space_name", "chunk_id", "term", (boost * idf(F.col("n_chunks"), F.col("df")) * F.col("tf") * (K1 + 1.0) / norm).alias("w"))
     scores = weighted.join(broadcast_if_small(terms, SMALL_QUERIES), "term").groupBy("qid", "space_name", "chunk_id").agg(F.sum("w").alias("score"))
     return scores if scope is None else scores.join(scope, ["qid", "chunk_id"], "left_semi")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodeweir.functions import text as T
 from lodeweir.operators import catalog as C
 from lodeweir.operators import search as S
-from lodeweir.session import table
+from lodeweir.session import broadcast_if_small, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,7 +96,8 @@ def _scope(spark: SparkSession, d: str) -> DataFrame:
     fits = (F.col("space_name").isNull() | (F.col("space_name") == F.col("s"))) & ((F.size("collection_names") == 0) | F.array_contains("collection_names", F.col("collection_name")))
     # few rows of scopes meet the few collections first, then the chunks of these by an equi join
     homes = rows.select("s", "collection_name").distinct()
-    return F.broadcast(q.select("qid", "space_name", F.coalesce("collection_names", F.array().cast("array<string>")).alias("collection_names"))).crossJoin(homes).where(fits).select("qid", "s", "collection_name").join(rows, ["s", "collection_name"]).select("qid", "chunk_id")
+    stated = broadcast_if_small(q.select("qid", "space_name", F.coalesce("collection_names", F.array().cast("array<string>")).alias("collection_names")), S.SMALL_QUERIES)
+    return homes.join(stated, fits).select("qid", "s", "collection_name").join(rows, ["s", "collection_name"]).select("qid", "chunk_id")
 
 
 # -- catalogue

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -31,7 +32,11 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/lodeweir/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/lodeweir/{purpose}-{uuid.uuid4().hex}"
+    if path.startswith("file:"):
+        # results are read lazily, so a mounted folder is tidied when the driver ends; object stores by their own rules
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
+    return path
 
 
 def materialize(df: DataFrame, purpose: str, *, partition_by: list[str] | None = None) -> DataFrame:
