@@ -37,7 +37,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     """One order of the chunks of every search."""
-    return rank.ideal_point_ranking(table(spark, d, "search_candidates"))
+    return rank.ideal_point_ranking(table(spark, d, "search_candidates")).withColumn("closeness", F.round("closeness", 6))
 
 
 @_query
@@ -147,7 +147,35 @@ n AS (SELECT response_id, count(*) AS n FROM g GROUP BY 1),
 common AS (SELECT a.response_id AS a, b.response_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.response_id < b.response_id GROUP BY 1, 2)
 """
 
+
+
+def _ideal_points() -> str:
+    """Closeness of candidates in SQL; the scores are treated one like the other."""
+    names = ("bm25", "dense", "reranker")
+    each = lambda f, sep=", ": sep.join(f(c) for c in names)
+    near = each(lambda c: f"CASE WHEN {c} IS NOT NULL AND hi_{c} > lo_{c} THEN (({c} - lo_{c}) / n_{c}) ** 2 ELSE 0 END", " + ")
+    away = each(lambda c: f"CASE WHEN {c} IS NOT NULL AND hi_{c} > lo_{c} THEN ((hi_{c} - {c}) / n_{c}) ** 2 ELSE 0 END", " + ")
+    return f"""
+WITH r AS (SELECT search_id, chunk_id, {each(lambda c: f"max({c}) AS {c}")} FROM search_candidates WHERE search_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT search_id, {each(lambda c: f"quantile_disc({c}, 0.25) AS a_{c}, quantile_disc({c}, 0.75) AS b_{c}")} FROM r GROUP BY 1),
+w AS (SELECT search_id, chunk_id, {each(lambda c: f"CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, b_{c} + 1.5 * (b_{c} - a_{c})), a_{c} - 1.5 * (b_{c} - a_{c})) END AS {c}")} FROM r JOIN q USING (search_id)),
+m AS (SELECT search_id, {each(lambda c: f"min({c}) AS lo_{c}, max({c}) AS hi_{c}")} FROM w GROUP BY 1),
+n AS (SELECT search_id, {each(lambda c: f"sqrt(sum(({c} - lo_{c}) ** 2)) AS n_{c}")} FROM w JOIN m USING (search_id) GROUP BY 1),
+d AS (SELECT search_id, chunk_id, sqrt({near}) AS near, sqrt({away}) AS away FROM w JOIN m USING (search_id) JOIN n USING (search_id)),
+c AS (SELECT search_id, chunk_id, round(CASE WHEN near + away > 0 THEN near / (near + away) ELSE 0.5 END, 9) AS closeness FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY closeness DESC, chunk_id) AS rank FROM c)
+"""
+
+
 SQL = {
+    "p4_quality": _ideal_points()
+    + """, g AS (SELECT search_id, chunk_id, max(grade) AS grade FROM search_grades WHERE search_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT search_id, chunk_id, row_number() OVER (PARTITION BY search_id ORDER BY v DESC NULLS LAST, chunk_id) AS rank FROM (SELECT search_id, chunk_id, max(final_score) AS v FROM search_candidates WHERE search_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2)),
+i AS (SELECT search_id, sum((2.0 ** grade - 1) / log2(n + 1)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY grade DESC, chunk_id) AS n FROM g) WHERE n <= 10 GROUP BY 1),
+o AS (SELECT 'ideal_point' AS ordering, search_id, chunk_id, rank FROM ranked UNION ALL SELECT 'final_score', * FROM s),
+h AS (SELECT ordering, search_id, sum((2.0 ** grade - 1) / log2(rank + 1)) AS dcg FROM o JOIN g USING (search_id, chunk_id) WHERE rank <= 10 GROUP BY 1, 2)
+SELECT k.ordering, count(*) AS searches, round(avg(coalesce(h.dcg, 0) / i.best), 6) AS ndcg FROM i CROSS JOIN (VALUES ('ideal_point'), ('final_score')) k(ordering) LEFT JOIN h ON h.search_id = i.search_id AND h.ordering = k.ordering WHERE i.best > 0 GROUP BY 1""",
+    "p4_ranking": _ideal_points() + "SELECT search_id, chunk_id, round(closeness, 6) AS closeness, rank FROM ranked",
     "p2_found": f"""SELECT DISTINCT c.chunk_id FROM chunks c JOIN chunk_policies p USING (extractor_key)
         WHERE c.text IS NOT NULL AND c.chunk_id IS NOT NULL AND (strlen(c.text) > p.hard_max_bytes OR len(regexp_extract_all(c.text, '{_TOKENS}')) > p.hard_max_tokens)""",
     "p5_found": _GRAMS + "SELECT a AS response_a, b AS response_b FROM common JOIN n x ON x.response_id = a JOIN n y ON y.response_id = b WHERE c / (x.n + y.n - c) >= 0.7 - 1e-12",
