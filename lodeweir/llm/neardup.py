@@ -85,6 +85,7 @@ class Trie:
             np.maximum.at(slack, parent[a:b], slack[a:b])
             np.minimum.at(least, parent[a:b], least[a:b])
         self.hi, self.slack, self.least = self.lo + below, slack, least
+        self.size, self.position = size, position
         ends = np.argsort(self.row_end, kind="stable")
         n_ends = np.bincount(self.row_end, minlength=made)
         self.ends, self.n_ends, self.first_end = ends, n_ends, np.cumsum(n_ends) - n_ends
@@ -122,7 +123,7 @@ def join_trie(t: Trie, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, n
             ta, tb = t.token[a], t.token[b]
             step_a, step_b = ta <= tb, tb <= ta
             # rows that end at a node whose token is consumed meet all rows below the other one
-            for x, y, stepping, other_too in ((a, b, step_a, step_b), (b, a, step_b, step_a)):
+            for x, y, mx, my, stepping, other_too in ((a, b, ma, mb, step_a, step_b), (b, a, mb, ma, step_b, step_a)):
                 k = np.flatnonzero(stepping & (t.n_ends[x] > 0))
                 if len(k):
                     which, at = _spans(t.first_end[x[k]], t.n_ends[x[k]])
@@ -135,7 +136,11 @@ def join_trie(t: Trie, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, n
                     keep = np.where(same, np.where(ended, p < q, x is a), ~(level & ended) | (x is a))
                     if x is b and same.any():
                         keep &= ~same
-                    yield p[keep], q[keep]
+                    p, q, k, level = p[keep], q[keep], k[keep], level[keep]
+                    # the exact bounds of the two rows: what each has missed so far must leave enough in common
+                    common = t.tau * (t.size[p] + t.size[q]) - 1e-6
+                    fits = (mx[k] + ~level + t.position[p] <= t.size[p] - common) & (my[k] + t.position[q] <= t.size[q] - common)
+                    yield p[fits], q[fits]
             both, only_a, only_b = np.flatnonzero(step_a & step_b), np.flatnonzero(step_a & ~step_b), np.flatnonzero(step_b & ~step_a)
             which, at = _spans(t.first_child[a[only_a]], t.n_children[a[only_a]])
             k = only_a[which]
