@@ -35,6 +35,8 @@ _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!include))")
 SETS_STOPS = 0.7
 #: A word that ends a sentence or line less often than this, of at least so many occurrences, ends no text.
 ENDS_SHARE, ENDS_COUNT = 0.004, 40
+#: A token that occurs by itself at most this often for each occurrence of the words it begins is no word but a piece of one.
+FRAGMENT_SHARE = 1 / 200
 #: Shorter texts are entries like "n/a", of which a last word proves nothing.
 LEAST_CHARS = 12
 #: A length is a field limit of a source where so many of its texts, and this share, have it.
@@ -140,7 +142,8 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     (prefix, words below). A text is cut where it ends
 
     - in a broken character, at a mark that says that the rest was left out, or in an open code block;
-    - in a token that is no word but a proper prefix of words (before an ellipsis too);
+    - in a token that is no word but a proper prefix of words (before an ellipsis too): next to these words it hardly
+      occurs by itself, as a share, so that neither the size of the corpus nor copies of its texts decide;
     - without a stop in a word that hardly ever ends a sentence or line;
     - without a stop in a kind of sentence that has one, of an author who sets them, or behind another sentence of the
       same line;
@@ -169,7 +172,7 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     df = ends.join(chars, ["source", "n"], "left").join(octets, ["source", "b"], "left").join(known, "tail", "left").join(nodes, "tail", "left").join(final, "last", "left").join(closing, "last", "left").join(begin, "starter", "left")
     df = df.withColumn("at_limit", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
     df = df.withColumn("short", F.coalesce((F.col("announced") > F.col("n")) & (F.col("announced") > F.col("b")), F.lit(False)))
-    unknown = (F.col("tail") != "") & (F.coalesce("tail_n", F.lit(0)) * 200 <= F.coalesce("below", F.lit(0))) & (F.coalesce("below", F.lit(0)) > 0) & (F.coalesce("tail_n", F.lit(0)) <= 3)
+    unknown = (F.col("tail") != "") & (F.coalesce("tail_n", F.lit(0)) <= FRAGMENT_SHARE * F.col("below")) & (F.col("below") > 0)
     never = (F.col("last") != "") & (F.col("last_n") >= ENDS_COUNT) & (F.col("last_end") + F.coalesce("last_final", F.lit(0)) < ENDS_SHARE * F.col("last_n")) & (F.col("n") >= LEAST_CHARS)
     prose = (F.col("start_n") >= 5) & (F.col("start_stop") >= SETS_STOPS * F.col("start_n"))
     loose = ~F.col("stopped") & ~F.col("ellipsis")

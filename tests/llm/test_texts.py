@@ -114,6 +114,18 @@ def test_field_limits(spark):
     assert set(found) == set(range(12))
 
 
+def test_cut_words_do_not_depend_on_the_size(spark):
+    rows = [(i, f"The review of batch {i} covers the retry, the replay and the report before the relay. Some release follows.", "src") for i in range(120)]
+    rows += [(k, "The crew must re-index the relay after the replay.", "src") for k in (200, 201)]
+    rows += [(300, "nobody saw the second re", "src"), (301, "nobody saw the second review", "src"), (302, "nobody saw the second rep...", "src"), (303, "someone asked for a relay", "src")]
+    found = []
+    for times in (1, 10):
+        more = [(k + 1000 * j, t, s, None, 0, "", "") for k, t, s in rows for j in range(times)]
+        found.append({r.doc_id for r in truncation.truncation_evidence(spark.createDataFrame(more, DOCS)).where("reason = 'word'").collect()})
+    assert found[0] == {300, 302}
+    assert found[1] == {k + 1000 * j for k in found[0] for j in range(10)}
+
+
 def test_words_and_endings():
     assert truncation.words("fooBar_baz Straße ABC") == ["foo", "bar", "baz", "straße", "abc"]
     counts = Counter()
