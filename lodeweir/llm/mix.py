@@ -87,8 +87,19 @@ def _positions(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return docs.withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(F.broadcast(sums) if bits < 8 else sums, ["source", "_b"]).select("doc_id", "source", "tokens", (F.col("_base") + F.col("_in")).alias("before"))
 
 
+def _targets(mix_targets: DataFrame) -> DataFrame:
+    """(source, t, r): share and repeats of each source to be mixed, each once."""
+    return mix_targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("r"))
+
+
+def all_tokens(sizes: DataFrame, mix_targets: DataFrame) -> int:
+    """Tokens of all texts of the sources to be mixed, each text once: the size of a mix that passes over no source."""
+    known = sizes.where("tokens > 0").join(F.broadcast(_targets(mix_targets).select("source")), "source", "left_semi")
+    return int(known.agg(F.sum("tokens")).first()[0] or 0)
+
+
 def _plan(sizes: DataFrame, mix_targets: DataFrame, total: int | None, block: int, max_slots: int):
-    per = mix_targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("r"))
+    per = _targets(mix_targets)
     rows = per.orderBy("source").head(MAX_SOURCES + 1)
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")

@@ -106,24 +106,41 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.fill_report(pack.pack_documents(tokens.sized_documents(table(spark, d, "documents")), specs), specs)
 
 
+def _mix_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    sizes, targets = tokens.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return sizes, targets, mix.all_tokens(sizes, targets)
+
+
 @_query
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
-    """The largest mix in which every source reaches its share."""
-    return mix.mix_sources(tokens.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    """A mix as large as all texts of the mixed sources; what sources too small for their share lack, the others give."""
+    sizes, targets, total = _mix_inputs(spark, d)
+    return mix.mix_sources(sizes, targets, total=total)
 
 
 @_query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares of that mix."""
-    return mix.share_report(tokens.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    sizes, targets, total = _mix_inputs(spark, d)
+    return mix.share_report(sizes, targets, total=total)
 
 
 @_query
 def p9_shares_full(spark: SparkSession, d: str) -> DataFrame:
-    """The shares of a mix as large as all texts of the mixed sources, for which some sources are too small."""
-    sizes, targets = tokens.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets")
-    total = sizes.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0
-    return mix.share_report(sizes, targets, total=int(total))
+    """The same as p9_shares, under its earlier name."""
+    return p9_shares(spark, d)
+
+
+@_query
+def p9_mixed_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mix in which every source reaches its share; the scarcest source sets its size."""
+    return mix.mix_sources(tokens.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+@_query
+def p9_shares_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of that largest exact mix."""
+    return mix.share_report(tokens.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 @_query

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from lodeweir.llm import queries
 from lodeweir.llm.mix import budgets, largest_lag, mix_sources, pfair_schedule, share_report
 from lodeweir.llm.pack import BestFit, fill_report, pack_documents
 from lodeweir.llm.tokens import encoder, sized_documents
@@ -96,6 +97,23 @@ def test_mix(spark):
     assert mix_sources(sizes, targets.where("false")).count() == 0
 
 
+def test_a_scarce_source_does_not_shrink_the_mix(spark, tmp_path):
+    docs = [(i, s, f"Entry {i}: the harbor covers the silo before the evening run.") for i, s in enumerate(["a"] * 300 + ["b"] * 100 + ["c"] + ["other"] * 50)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 3), ("c", 0.2, 2), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    size = {r.doc_id: r.tokens for r in sized_documents(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    total = sum(size[i] for i, s, _ in docs if s != "other")
+    out = queries.QUERIES["p9_mixed"](spark, str(tmp_path)).collect()
+    used = {s: sum(r.tokens for r in out if r.source == s) for s in "abc"}
+    assert sum(used.values()) == sum(r.tokens for r in out) and abs(sum(used.values()) - total) < 0.01 * total
+    assert used["c"] == 2 * size[400] and abs(used["a"] - used["b"]) < 0.01 * total  # c gives all it may, the others the rest by their targets
+    assert all(r.copy <= {"a": 1, "b": 3, "c": 2}[r.source] for r in out) and len({(r.doc_id, r.copy) for r in out}) == len(out)
+    report = {r.source: r for r in queries.QUERIES["p9_shares"](spark, str(tmp_path)).collect()}
+    assert {s: report[s].tokens for s in "abc"} == used and [report[s].exhausted for s in "abc"] == [False, False, True]
+    exact = queries.QUERIES["p9_shares_exact"](spark, str(tmp_path)).collect()
+    assert sum(r.tokens for r in exact) < 0.1 * total
+
+
 def test_sizes(spark):
     text = "Grüße, two  words\n" * 3
     df = spark.createDataFrame([(1, "s", text, 5), (2, None, None, 5), (3, "s", "", 5), (None, "s", "x", 5), (4, "s", "<|endoftext|> 日本", 5)], "doc_id bigint, source string, text string, tokens int")
