@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweir.session import materialize
+from lodeweir.session import broadcast_if_small, materialize
 
 #: Words per n-gram, least similarity and least words for problem 5 as stated in its data.
 NGRAM, THRESHOLD, LEAST_WORDS = 3, 0.7, 30
@@ -25,8 +25,8 @@ NGRAM, THRESHOLD, LEAST_WORDS = 3, 0.7, 30
 BLOCK_SETS = 2000
 #: Node pairs in the air at once.
 FRONTIER = 1_500_000
-#: Exact copies up to so many are expanded into all pairs; larger groups into pairs with their representative.
-EXPAND_COPIES = 2000
+#: Members of a class in one block when classes are expanded into pairs; blocks meet pairwise.
+EXPAND_BLOCK = 1000
 
 
 def prefix_length(n: int, threshold: float) -> int:
@@ -205,11 +205,12 @@ def _candidates(threshold: float):
 
 
 def ngram_sets(texts: DataFrame, key: str, text: str, ngram: int, least_words: int) -> DataFrame:
-    """(key, grams): the sorted set of 64-bit hashes of the word n-grams of every text with enough words, each key once."""
+    """(key, grams, content): the sorted set of 64-bit hashes of the word n-grams of every text with enough words, and
+    a hash of the text as it stands."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    w = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, words.alias("_w")).where(F.size("_w") >= max(least_words, ngram))
+    w = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, words.alias("_w"), F.xxhash64(text).alias("content")).where(F.size("_w") >= max(least_words, ngram))
     grams = F.transform(F.sequence(F.lit(1), F.size("_w") - (ngram - 1)), lambda i: F.xxhash64(*[F.element_at("_w", i + k) for k in range(ngram)]))
-    return w.select(key, F.array_sort(F.array_distinct(grams)).alias("grams"))
+    return w.select(key, F.array_sort(F.array_distinct(grams)).alias("grams"), "content")
 
 
 def similar_sets(sets: DataFrame, threshold: float, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -240,33 +241,49 @@ def similar_sets(sets: DataFrame, threshold: float, block_sets: int = BLOCK_SETS
 
 
 def near_duplicate_links(texts: DataFrame, key: str, text: str, *, ngram: int = NGRAM, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, block_sets: int = BLOCK_SETS) -> tuple[DataFrame, DataFrame]:
-    """(members, links): classes of equal n-gram sets as (key, class_id), and (a, b, similarity) between class ids.
+    """(members, links): classes of equal n-gram sets as (key, class_id, content), and (a, b, similarity) between class ids.
 
     The class id is the least key. Null and short texts and null keys belong to no class; repeated rows of a key
     count once (of different texts under one key the greatest set counts). Both tables are written.
     """
-    rows = ngram_sets(texts, key, text, ngram, least_words).groupBy(key).agg(F.max("grams").alias("grams"))
-    keyed = materialize(rows.select(key, "grams", F.xxhash64("grams").alias("h1"), F.hash("grams").alias("h2")), "grams")
+    rows = ngram_sets(texts, key, text, ngram, least_words).groupBy(key).agg(F.max(F.struct("grams", "content")).alias("g")).select(key, "g.*")
+    keyed = materialize(rows.select(key, "grams", "content", F.xxhash64("grams").alias("h1"), F.hash("grams").alias("h2")), "grams")
     classes = keyed.groupBy("h1", "h2").agg(F.min(key).alias("class_id"))
-    members = materialize(keyed.select(key, "h1", "h2").join(classes, ["h1", "h2"]).select(key, "class_id"), "classes")
+    members = materialize(keyed.select(key, "content", "h1", "h2").join(classes, ["h1", "h2"]).select(key, "class_id", "content"), "classes")
     heads = keyed.join(members.where(F.col(key) == F.col("class_id")).select(key), key, "left_semi").select(F.col(key).alias("set_id"), "grams")
     return members, materialize(similar_sets(heads, threshold, block_sets), "links")
 
 
-def expand_pairs(members: DataFrame, links: DataFrame, key: str, expand: int = EXPAND_COPIES) -> DataFrame:
-    """(response_a, response_b): linked pairs of keys. Classes of more than ``expand`` equal sets count as their
-    representative, to which each further member is linked, since copies of one set are one class by membership."""
-    sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
-    sized = materialize(members.join(sizes, "class_id").select(F.col(key).alias("_k"), "class_id", "n"), "copies")
-    acting = sized.where((F.col("n") <= expand) | (F.col("_k") == F.col("class_id")))
-    x, y = acting.select(F.col("_k").alias("x"), F.col("class_id").alias("a")), acting.select(F.col("_k").alias("y"), F.col("class_id").alias("b"))
+def expand_pairs(members: DataFrame, links: DataFrame, key: str, expand: int | None = None, block: int = EXPAND_BLOCK) -> DataFrame:
+    """(response_a, response_b): all pairs of keys of one class or of linked classes, at every size of the classes.
+
+    Classes are cut into salted blocks of about ``block`` members, and pairs of blocks are the units of the joins. Only
+    where ``expand`` is given do more than ``expand`` texts of identical content count as their representative (the
+    least key), to which each further one is linked; different texts of one n-gram set are always paired.
+    """
+    acting = members.select(F.col(key).alias("_k"), "class_id", "content")
+    star = None
+    if expand is not None:
+        copies = acting.groupBy("class_id", "content").agg(F.count("*").alias("copies"), F.min("_k").alias("first"))
+        told = materialize(acting.join(copies, ["class_id", "content"]), "told")
+        acting = told.where((F.col("copies") <= expand) | (F.col("_k") == F.col("first")))
+        star = told.where((F.col("copies") > expand) & (F.col("_k") != F.col("first"))).select(F.col("first").alias("x"), F.col("_k").alias("y"))
+    sizes = acting.groupBy("class_id").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    sized = materialize(acting.join(sizes, "class_id").select("_k", "class_id", "n", "blocks", F.pmod(F.xxhash64("_k"), "blocks").cast("int").alias("side")), "copies")
+    large = sized.where("blocks > 1").select("class_id", "blocks").distinct()
+    large = broadcast_if_small(materialize(large, "large"), 100_000)
+    cells = links.select("a", "b")
+    for end, side in (("a", "i"), ("b", "j")):
+        cells = cells.join(large.withColumnRenamed("class_id", end), end, "left").withColumn(side, F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    x, y = sized.select(F.col("_k").alias("x"), F.col("class_id").alias("a"), F.col("side").alias("i")), sized.select(F.col("_k").alias("y"), F.col("class_id").alias("b"), F.col("side").alias("j"))
     # written before the union: joins under one union may differ in their numbers of partitions
-    across = materialize(links.select("a", "b").join(x, "a").join(y, "b").select("x", "y"), "across")
-    multi = acting.where((F.col("n") > 1) & (F.col("n") <= expand))
-    p, q = multi.select(F.col("_k").alias("x"), "class_id"), multi.select(F.col("_k").alias("y"), "class_id")
-    within = materialize(p.join(q, "class_id").where("x < y").select("x", "y"), "within")
-    star = sized.where((F.col("n") > expand) & (F.col("_k") != F.col("class_id"))).select(F.col("class_id").alias("x"), F.col("_k").alias("y"))
-    return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias("response_a"), F.greatest("x", "y").alias("response_b"))
+    across = materialize(cells.join(x, ["a", "i"]).join(y, ["b", "j"]).select("x", "y"), "across")
+    multi, others = sized.where("n > 1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    p, q = multi.select(F.col("_k").alias("x"), "class_id", F.col("side").alias("i"), others.alias("j")), multi.select(F.col("_k").alias("y"), "class_id", others.alias("i"), F.col("side").alias("j"))
+    within = materialize(p.join(q, ["class_id", "i", "j"]).where("x < y").select("x", "y"), "within")
+    pairs = across.unionByName(within)
+    pairs = pairs if star is None else pairs.unionByName(star)
+    return pairs.select(F.least("x", "y").alias("response_a"), F.greatest("x", "y").alias("response_b"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodeweir.llm import queries
 from lodeweir.llm.neardup import expand_pairs, near_duplicate_groups, near_duplicate_links
 
 SCHEMA = "response_id bigint, content string, path string, class_id string, grams string"
@@ -73,6 +75,33 @@ def test_large_groups_of_copies_are_stars(spark):
     assert run(spark, rows)[0] == brute(rows)
 
 
+def test_different_texts_of_one_set_are_all_paired(spark):
+    words = [f"a{i}" for i in range(40)]
+    rows = [(i, " ".join(words[:i]).upper() + "; " + " ".join(words[i:])) for i in range(1, 12)] + [(30 + i, " ".join(words[:39]) + " z" + "!" * i) for i in range(5)]
+    assert run(spark, rows, expand=3)[0] == brute(rows) and len(brute(rows)) == 16 * 15 // 2
+    rows += [(50 + i, rows[0][1]) for i in range(4)]  # five of one content: the representative stands for them
+    assert run(spark, rows, expand=3)[0] == {p for p in brute(rows) if max(p) < 50} | {(1, 50 + i) for i in range(4)}
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 1000])
+def test_blocks_of_classes(spark, block):
+    rows = corpus() + [(1000 + i, corpus()[0][1] + "." * (i % 7)) for i in range(20)]
+    _, members, links = run(spark, rows)
+    got = [tuple(r) for r in expand_pairs(members, links, "response_id", block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_large_classes_lose_no_pair(spark, tmp_path):
+    text = " ".join(f"a{i}" for i in range(40))
+    n = 2001
+    same = spark.range(1, n + 1).select(F.col("id").alias("response_id"), F.concat(F.lit(text), F.expr("repeat('!', cast(id % 5 as int))")).alias("content"))
+    other = spark.createDataFrame([(5000, text.rsplit(" ", 1)[0] + " z")], "response_id bigint, content string")
+    same.unionByName(other).write.parquet(f"{tmp_path}/document_responses.parquet")
+    out = queries.QUERIES["p5_found"](spark, str(tmp_path))
+    assert out.count() == out.distinct().count() == n * (n - 1) // 2 + n
+    assert out.where("response_a >= response_b").count() == 0
+
+
 def test_empty(spark):
     got, members, links = run(spark, [])
     assert got == set() and near_duplicate_groups(members, links, "response_id").count() == 0
