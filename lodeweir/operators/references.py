@@ -85,25 +85,30 @@ def lifetimes(collections: DataFrame) -> DataFrame:
     )
 
 
+def maximal_lifetimes(collections: DataFrame) -> DataFrame:
+    """(collection_id, run_start, run_end): the times at which an id exists as maximal runs; its lifetimes that overlap
+    or touch are merged, since an as-of match sees one run only."""
+    each = lifetimes(collections).where("run_end >= run_start").select("collection_id", "run_start", "run_end")
+    order = Window.partitionBy("collection_id").orderBy("run_start", "run_end")
+    until = F.max("run_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("_new", F.when(F.col("run_start") - 1 <= until, 0).otherwise(1))
+    each = each.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return each.groupBy("collection_id", "_run").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end")).drop("_run")
+
+
 def orphan_document_rows(document_rows: DataFrame, collections: DataFrame) -> DataFrame:
     """(ref_id, at) of the rows whose collection_id names no collection that exists at recorded_at, each row_id once.
 
     Ids that never existed lie beyond the runs of consecutive collection ids; the others are matched to the
-    lifetimes of their collection. Null references and rows without recorded_at are no orphans; with no
+    maximal lifetimes of their collection. Null references and rows without recorded_at are no orphans; with no
     collections at all every reference is one.
     """
     refs = document_rows.where("collection_id is not null and recorded_at is not null").select("row_id", "collection_id", "recorded_at", micros("recorded_at").alias("t"))
     unknown = missing_keys(refs, contiguous_runs(collections, "collection_id"), "collection_id", [], ID_WIDTH)
-    runs = lifetimes(collections).select("collection_id", "run_start", "run_end")
-    if len(runs.head(SMALL_RUNS + 1)) <= SMALL_RUNS:
-        known = F.broadcast(runs)
-        bad = refs.join(known, (refs["collection_id"] == known["collection_id"]) & refs["t"].between(known["run_start"], known["run_end"]), "left_anti")
-    else:
-        gone = missing_keys(refs.join(unknown, "collection_id", "left_anti"), runs, "t", ["collection_id"], TIME_WIDTH)
-        bad = refs.join(gone, ["collection_id", "t"], "left_semi").unionByName(refs.join(unknown, "collection_id", "left_semi"))
-    never = unknown.withColumn("never", F.lit(True))
-    bad = bad.join(broadcast_known(never), "collection_id", "left")
-    return bad.groupBy(F.col("row_id").alias("ref_id")).agg(F.min("recorded_at").alias("at"), F.max(F.when(F.col("never"), "never existed").otherwise("not there at the time")).alias("reason"))
+    gone = missing_keys(refs.join(broadcast_known(unknown), "collection_id", "left_anti"), maximal_lifetimes(collections), "t", ["collection_id"], TIME_WIDTH)
+    bad = refs.join(gone, ["collection_id", "t"], "left_semi").select("row_id", "recorded_at", F.lit("not there at the time").alias("reason"))
+    bad = bad.unionByName(refs.join(broadcast_known(unknown), "collection_id", "left_semi").select("row_id", "recorded_at", F.lit("never existed").alias("reason")))
+    return bad.groupBy(F.col("row_id").alias("ref_id")).agg(F.min("recorded_at").alias("at"), F.max("reason").alias("reason"))
 
 
 def broadcast_known(df: DataFrame) -> DataFrame:

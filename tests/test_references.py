@@ -76,6 +76,19 @@ def test_orphans(spark, monkeypatch, small):
     assert months == {("document_rows", "2025-01"): 4, ("eval_judgments", "2025-01"): 6}
 
 
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_rows_are_matched_to_merged_lifetimes(spark, monkeypatch, small):
+    monkeypatch.setattr(R, "SMALL_RUNS", small)
+    keys, match = [], R.missing_keys
+    monkeypatch.setattr(R, "missing_keys", lambda refs, runs, key, group, width: keys.append(key) or match(refs, runs, key, group, width))
+    cols = [(1, 1, "s", "a", at(0), at(10)), (1, 1, "s", "b", at(5), at(7)), (1, 1, "s", "c", at(10), at(12)), (1, 1, "s", "d", at(20), None), (1, 1, "s", "e", at(30), at(31)), (2, 1, "s", "f", at(9), at(3)), (3, 1, "s", "g", None, None)]
+    times = [(1, d) for d in (-1, 0, 6, 8, 10, 11, 12, 19, 20, 32, 99)] + [(2, 5), (2, 9), (3, 5), (4, 5)]
+    rows = [(k, 1, c, "p", True, at(d)) for k, (c, d) in enumerate(times)]
+    found = R.orphan_document_rows(*frames(spark, cols, rows, [], [])[:2]).collect()
+    assert {times[r.ref_id] for r in found} == {(1, -1), (1, 12), (1, 19), (2, 5), (2, 9), (3, 5), (4, 5)}
+    assert {times[r.ref_id] for r in found if r.reason == "never existed"} == {(4, 5)} and keys == ["collection_id", "t"]
+
+
 def test_orphans_of_empty_tables(spark):
     assert R.orphan_references(*frames(spark, [], [], [], [])).count() == 0
     found = R.orphan_references(*frames(spark, [], [(1, 1, 1, "a", True, at(1))], [], [(1, 1, "a/b", at(1), "")]))
