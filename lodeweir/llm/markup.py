@@ -50,7 +50,7 @@ PIECES = re.compile(
     re.MULTILINE,
 )
 #: Java expression for texts that may hold a piece at all; all others are passed over in the JVM.
-SUSPECT = r"[<&*`\[{\\$~#|]|__|''|-->|(?:^|\n) {0,3}(?:=|>|-{2,}[ \t]*(?:\n|$)|[+:;])|[\s(]_\w|(?:class|id|style|href|src|align|width)\s*="
+SUSPECT = r"[<&*`\[{\\$~#|]|__|''|-->|(?:^|\n) {0,3}(?:=|>|-{2,}[ \t]*(?:\n|$)|[+:;_])|(?:^|[^\w/\\.])_[^\s_]|(?:class|id|style|href|src|align|width)[\s\p{Z}]*="
 _SAMPLE = re.compile(r"^(?: {4}|\t).*$", re.MULTILINE)
 FAMILIES = ("html", "entity", "wiki", "bbcode", "markdown", "latex")
 

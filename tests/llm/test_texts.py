@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeweir.llm import codefiles, markup, truncation
 
@@ -33,6 +34,16 @@ def test_plain(text):
     assert not markup.pieces(text)
 
 
+EMPHASIS = ["_Note_: see below.", 'see "_the guide_" for more', "end:_now_, ok", "_a b_", "first\n_second_ line", "\u00a0_so it is_", "_¿qué?_ dijo", "so (_yes_)", "text\n_ _ _\nmore", 'rest" class\u00a0= "x">t']
+
+
+def test_what_has_a_piece_is_suspect(spark):
+    texts = [t for t in [*MARKED, *EMPHASIS] if markup.pieces(t)]
+    assert set(EMPHASIS) <= set(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert [r.t for r in df.where(~F.col("t").rlike(markup.SUSPECT)).collect()] == []
+
+
 TEXTS = "doc_id bigint, extractor_key string, text string, host string, paths string, kind string"
 RESPONSES = "response_id bigint, content string, space_name string, collection_name string, text string, losing string"
 ROWS = "row_id bigint, doc_id bigint, collection_id bigint, path string, recorded_at timestamp, home string, text string"
