@@ -41,6 +41,9 @@ FRAGMENT_SHARE = 1 / 200
 LEAST_CHARS = 12
 #: A length is a field limit of a source where so many of its texts, and this share, have it.
 LIMIT_COUNT, LIMIT_SHARE = 5, 0.01
+#: Below this length many texts may be equally long by chance, so that a limit must besides be the greatest length of its
+#: source, have LIMIT_COUNT different texts and so many times the texts of the lengths that are up to a tenth shorter.
+CHANCE_LENGTH, LIMIT_PEAK = 200, 5
 
 
 def words(text: str) -> list[str]:
@@ -115,7 +118,7 @@ def ending(text: str | None) -> dict:
     return out
 
 
-_FEATURES = "doc_id bigint, source string, n bigint, b bigint, announced bigint, mark boolean, broken boolean, ellipsis boolean, stopped boolean, tail string, last string, item boolean, starter string, author double, inline boolean, brief boolean, code boolean, in_number boolean, open_code boolean"
+_FEATURES = "doc_id bigint, source string, n bigint, b bigint, h bigint, announced bigint, mark boolean, broken boolean, ellipsis boolean, stopped boolean, tail string, last string, item boolean, starter string, author double, inline boolean, brief boolean, code boolean, in_number boolean, open_code boolean"
 
 
 def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,21 +150,27 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     - without a stop in a word that hardly ever ends a sentence or line;
     - without a stop in a kind of sentence that has one, of an author who sets them, or behind another sentence of the
       same line;
-    - without a stop at a length that many texts of its source have, or short of the announced characters (a
+    - without a stop at a length that many texts of its source have (a short one: its greatest, and it stands out), or short of the announced characters (a
       number that equals the bytes is no shortage).
 
     Null and empty texts, texts that only lack a stop because their author sets none, items, footers, signatures
     and deliberate ellipses are no cases; a null source has no field limits. Repeats of a doc_id count once.
     """
-    base = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "source", F.length("text").cast("bigint").alias("n"), F.octet_length("text").cast("bigint").alias("b"), F.col("announced_chars").cast("bigint").alias("announced"), "text")
+    base = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "source", F.length("text").cast("bigint").alias("n"), F.octet_length("text").cast("bigint").alias("b"), F.xxhash64("text").alias("h"), F.col("announced_chars").cast("bigint").alias("announced"), "text")
     stats = base.select("text").mapInPandas(_statistics, "kind string, key string, ends int, n bigint")
     stats = materialize(stats.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("ends")).alias("at_end")), "words")
     ends = materialize(base.mapInPandas(_endings, _FEATURES).dropDuplicates(["doc_id"]), "endings")
     vocabulary = stats.where("kind = 'w'")
     nodes = vocabulary.where("n >= 2 and length(key) > 1").select(F.explode(F.expr("transform(sequence(1, length(key) - 1), i -> substring(key, 1, i))")).alias("tail"), "n").groupBy("tail").agg(F.sum("n").alias("below"))
-    lengths = ends.where("source is not null").select("source", F.explode(F.array(F.struct(F.lit("n").alias("unit"), F.col("n").alias("size")), F.struct(F.lit("b").alias("unit"), F.col("b").alias("size")))).alias("x")).groupBy("source", "x.unit", "x.size").agg(F.count("*").alias("k"))
+    units = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in "nb"])
+    lengths = ends.where("source is not null").select("source", "h", F.explode(units).alias("x")).groupBy("source", "x.unit", "x.size").agg(F.count("*").alias("k"), F.count_distinct(F.when(F.col("x.size") < CHANCE_LENGTH, F.col("h"))).alias("texts"))
     totals = ends.groupBy("source").agg(F.count("*").alias("total"))
-    limits = lengths.where(F.col("k") >= LIMIT_COUNT).join(totals, "source").where(F.col("k") >= LIMIT_SHARE * F.col("total")).where("size >= 200")
+    frequent = lengths.where(F.col("k") >= LIMIT_COUNT).join(totals, "source").where(F.col("k") >= LIMIT_SHARE * F.col("total"))
+    greatest = lengths.groupBy("source", "unit").agg(F.max("size").alias("most")).where(F.col("most") < CHANCE_LENGTH)
+    near = lengths.join(greatest, ["source", "unit"]).where((F.col("size") < F.col("most")) & (F.col("size") >= 0.9 * F.col("most"))).groupBy("source", "unit").agg(F.sum("k").alias("near"))
+    peak = (F.col("texts") >= LIMIT_COUNT) & (F.col("k") * F.greatest(F.floor(F.col("size") / 10), F.lit(1)) >= LIMIT_PEAK * F.coalesce("near", F.lit(0)))
+    short = frequent.where(F.col("size") < CHANCE_LENGTH).join(greatest.withColumnRenamed("most", "size"), ["source", "unit", "size"]).join(near, ["source", "unit"], "left").where(peak)
+    limits = frequent.where(F.col("size") >= CHANCE_LENGTH).select("source", "unit", "size").unionByName(short.select("source", "unit", "size"))
     limits = materialize(limits.select("source", "unit", "size"), "limits")
     few = broadcast_if_small(limits, 100_000)
     chars, octets = few.where("unit = 'n'").select("source", F.col("size").alias("n"), F.lit(True).alias("at_chars")), few.where("unit = 'b'").select("source", F.col("size").alias("b"), F.lit(True).alias("at_bytes"))

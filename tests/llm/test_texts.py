@@ -125,6 +125,16 @@ def test_field_limits(spark):
     assert set(found) == set(range(12))
 
 
+def test_short_field_limits(spark):
+    base = "the harbor covers the silo and the ladder before the evening run and the meadow"
+    whole = lambda i: f"{i} lanterns " + base[: 20 + i % 50].rsplit(" ", 1)[0]
+    rows = [(i, whole(i), "form", None) for i in range(60)] + [(100 + i, (f"{i:02} lanterns {base} {base}")[: 13 + len(base) + len("the harbor covers the silo")], "form", None) for i in range(12)]
+    rows += [(200 + i, f"{i:02} lanterns of the harbor", "log", None) for i in range(20)] + [(300, "the longest of all the lines and no case", "log", None)]
+    rows += [(400 + i, base + " tonight", "copies", None) for i in range(20)] + [(500 + i, whole(i), "copies", None) for i in range(40)]
+    e = truncation.truncation_evidence(spark.createDataFrame([(*r, 0, "", "") for r in rows], DOCS))
+    assert {r.doc_id for r in e.where("at_limit").collect()} == {r.doc_id for r in e.where("reason = 'field limit'").collect()} == set(range(100, 112))
+
+
 def test_cut_words_do_not_depend_on_the_size(spark):
     rows = [(i, f"The review of batch {i} covers the retry, the replay and the report before the relay. Some release follows.", "src") for i in range(120)]
     rows += [(k, "The crew must re-index the relay after the replay.", "src") for k in (200, 201)]
