@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ _COMMENT = re.compile(r"^\s*(?://|#(?!include|!|define|pragma|if|endif)|/\*|\*|-
 UNIFORM_RATIO, UNIFORM_TOKENS = 0.35, 60
 #: Numbers among words and numbers, and share of characters in incompressible literals, of files that are data.
 DATA_NUMBERS, DATA_OPAQUE = 0.4, 0.5
+#: Share of the entropy of random digits that a literal without structure has.
+RANDOM_SHARE = 0.9
 #: White space per character, and share of one-letter names, of minified files.
 MINIFIED_SPACE, MINIFIED_NAMES = 0.06, 0.4
 #: Tokens of a rule that counts as shared, repositories that must have it, share and least number of such rules in a file.
@@ -100,6 +103,20 @@ def repair(symbols: np.ndarray, files: np.ndarray, rounds: int = 24) -> tuple[np
     return final, n_rules, pd.concat(found, ignore_index=True) if found else pd.DataFrame({"file": [], "rule": [], "tokens": [], "uses": []}).astype("int64")
 
 
+def is_opaque(token: str) -> bool:
+    """Whether a long token is a literal without structure: mixed letters and digits, or letters of one case and digits
+    whose entropy is nearly that of random hexadecimal or base32 digits in a literal of this length."""
+    if len(token) < 40 or "_" in token or not re.search(r"\d", token):
+        return False
+    if re.search(r"[a-z]", token) and re.search(r"[A-Z]", token):
+        return True
+    body = token.removeprefix("0x").removeprefix("0X").rstrip("=").lower()
+    size = 16 if re.fullmatch(r"[0-9a-f]+", body) else 32
+    share = np.array(list(Counter(body).values())) / max(1, len(body))
+    random = np.log2(size) - (size - 1) / (2 * np.log(2) * max(1, len(body)))
+    return bool(-(share * np.log2(share)).sum() >= RANDOM_SHARE * random)
+
+
 def header_says(text: str) -> tuple[bool, bool]:
     """(generated, vendored) as the first and last comment lines say."""
     generated = vendored = False
@@ -126,7 +143,7 @@ def file_features(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
         out = []
         for t in toks:
             c = t[0]
-            if len(t) >= 40 and re.search(r"\d", t) and re.search(r"[a-z]", t) and re.search(r"[A-Z]", t) and "_" not in t:
+            if is_opaque(t):
                 opaque += len(t)
                 out.append("#B")
             elif c.isdigit():
@@ -177,7 +194,7 @@ def classify_code(document_texts: DataFrame, document_rows: DataFrame) -> DataFr
 
     Kinds, the first that applies: ``generated`` (the grammar is small against the file, its rules being used over and
     over, or its first or last comments say so), ``minified`` (hardly any white space, names of one letter), ``data``
-    (mainly numbers or literals that no grammar compresses), ``vendored`` (a folder or banner of another package,
+    (mainly numbers or long literals without structure), ``vendored`` (a folder or banner of another package,
     or rules most of which other repositories have too). The path and the repository (collection) are those of the
     newest row of the document; records without one are judged by their text. Null texts and other extractors are left
     out; of repeated rows of a doc_id one counts.

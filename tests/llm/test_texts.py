@@ -85,6 +85,17 @@ CODE = {
 }
 
 
+def test_opaque_literals_of_one_case():
+    rng = np.random.default_rng(3)
+    for letters in ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for n in (64, 4000):
+            literal = "".join(rng.choice(list(letters), n))
+            assert codefiles.is_opaque(literal)
+            assert codefiles.file_features([f"KEY = '{literal}'\n"])[0]["opaque_share"][0] > 0.5
+    assert not any(map(codefiles.is_opaque, ["ab12" * 20, "0" * 60, "a1" * 30, "the_second_name_of_a_table_of_the_night_crew_2", "gettheveryverylongnameofthesecondtableofit2"]))
+    assert codefiles.file_features([HAND])[0]["opaque_share"][0] == 0
+
+
 def test_code_files(spark):
     texts = spark.createDataFrame([(i, "code", t, "", "", "") for i, (t, _) in CODE.items()] + [(1, "code", HAND, "", "", ""), (50, "code", None, "", "", ""), (51, "md", CODE[3][0], "", "", ""), (None, "code", CODE[3][0], "", "", "")], TEXTS)
     rows = spark.createDataFrame([(i, i, 1, "third_party/pkg/x.py" if i == 8 else "app/vendors/x.py" if i == 1 else "src/generated_totals.py", None, "", "") for i in CODE if i != 9] + [(99, 10, 1, None, None, "", "")], ROWS)
