@@ -117,18 +117,50 @@ def is_opaque(token: str) -> bool:
     return bool(-(share * np.log2(share)).sum() >= RANDOM_SHARE * random)
 
 
+def comment_blocks(lines: list[str]) -> tuple[int, int, set[int]]:
+    """(end of the leading comment block, start of the trailing one, lines inside open comments without a sign of their own)."""
+    inner: set[int] = set()
+    first, until = 0, ""
+    for k, line in enumerate(lines):
+        s = line.strip()
+        if until:
+            inner.add(k)
+            until = "" if until in s else until
+        elif s and not s.startswith("#!"):
+            if not _COMMENT.match(line):
+                break
+            until = next((c for o, c in (("/*", "*/"), ('"""', '"""'), ("'''", "'''"), ("<!--", "-->")) if s.startswith(o) and c not in s[len(o) :]), "")
+        first = k + 1
+    last, until = len(lines), ""
+    for k in range(len(lines) - 1, first - 1, -1):
+        s = lines[k].strip()
+        if until:
+            inner.add(k)
+            until = "" if until in s else until
+        elif s:
+            until = next((o for o, c in (("/*", "*/"), ("<!--", "-->")) if s.endswith(c) and o not in s), "")
+            if until:
+                inner.add(k)
+            elif not _COMMENT.match(lines[k]):
+                break
+        last = k
+    return first, last, inner
+
+
 def header_says(text: str) -> tuple[bool, bool]:
-    """(generated, vendored) as the first and last comment lines say."""
+    """(generated, vendored) as the leading and trailing comment blocks say, and comments in the first and last lines."""
     generated = vendored = False
     lines = text.strip().split("\n")
-    for k, line in enumerate([*lines[:12], *lines[max(12, len(lines) - 4) :]]):
-        m = _COMMENT.match(line)
-        if not m:
+    first, last, inner = comment_blocks(lines)
+    head = max(12, first)
+    for k in [*range(min(head, len(lines))), *range(max(head, min(last, len(lines) - 4)), len(lines))]:
+        m = _COMMENT.match(lines[k])
+        if not m and k not in inner:
             continue
-        said = m[1].strip()
+        said = (m[1] if m else lines[k]).strip()
         if _SAYS_GENERATED.search(said) and not _NOT_GENERATED.search(said):
             generated = True
-        if k < 6 and _SAYS_VENDORED.search(said):
+        if k < max(6, first) and _SAYS_VENDORED.search(said):
             vendored = True
     return generated, vendored
 

@@ -96,6 +96,14 @@ def test_opaque_literals_of_one_case():
     assert codefiles.file_features([HAND])[0]["opaque_share"][0] == 0
 
 
+def test_whole_comment_blocks_are_read():
+    licence = "".join(f"// Line {i} of the terms.\n" for i in range(20))
+    assert codefiles.header_says(licence + "// Code generated by x-gen v1. DO NOT EDIT.\n" + HAND) == (True, False)
+    assert codefiles.header_says("/*\n" + "Some terms.\n" * 15 + "@license MIT\n*/\n" + HAND) == (False, True)
+    assert codefiles.header_says(HAND + "# Code generated by x-gen.\n" + "# More.\n" * 9) == (True, False)
+    assert codefiles.header_says(licence + HAND * 2 + "# code generated by x\n" + HAND) == (False, False)
+
+
 def test_code_files(spark):
     texts = spark.createDataFrame([(i, "code", t, "", "", "") for i, (t, _) in CODE.items()] + [(1, "code", HAND, "", "", ""), (50, "code", None, "", "", ""), (51, "md", CODE[3][0], "", "", ""), (None, "code", CODE[3][0], "", "", "")], TEXTS)
     rows = spark.createDataFrame([(i, i, 1, "third_party/pkg/x.py" if i == 8 else "app/vendors/x.py" if i == 1 else "src/generated_totals.py", None, "", "") for i in CODE if i != 9] + [(99, 10, 1, None, None, "", "")], ROWS)
