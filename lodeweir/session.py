@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_FRESH: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and the master
+    local. Elsewhere it must be set, since executors would write to disks of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="lodeweir-")
@@ -34,11 +38,21 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
     """A path in the shared folder that no other run uses."""
     path = f"{shared_root(spark)}/lodeweir/{purpose}-{uuid.uuid4().hex}"
     if path.startswith("file:"):
-        # results are read lazily, so a mounted folder is tidied when the driver ends; object stores by their own rules
+        # results are read lazily, so folders are tidied when the driver ends, or by tidy() where results are written
         atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
+    _FRESH.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def tidy(spark: SparkSession) -> int:
+    """Delete this application's intermediate tables wherever they lie, once results are written; returns how many."""
+    paths = _FRESH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, purpose: str, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage is cut, lost executors cost nothing.
 
@@ -50,7 +64,7 @@ def materialize(df: DataFrame, purpose: str, *, partition_by: list[str] | None =
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def spread(df: DataFrame, rows_hint_cols: list[str] | None = None) -> DataFrame:
