@@ -14,8 +14,10 @@ from lodeweir.session import broadcast_if_small, materialize
 
 _WORD = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿœ]+|[^\W\d_a-zß-öø-ÿœ]+(?![a-zß-öø-ÿœ])|[^\W\d_]+")
 _TAIL = re.compile(r"[^\W\d_]+\Z")
-_STOP = re.compile(r"[.!?。！？][\"'”’»)\]}]*$")
-_SENTENCES = re.compile(r"(?<=[.!?。！？])[\"'”’»)\]]*\s+|\n+")
+_END = re.compile(r"[.!?。！？][\"'”’»)\]]*\s+|\n+")
+_STOPS, _CLOSERS, _CLOSED = frozenset(".!?。！？"), "\"'”’»)]}", frozenset("]})>\"'”’»|:`~*_=")
+_SMILE, _TICKS = re.compile(r"[:;]-?[)(DP]\Z"), re.compile(r"^\s*```", re.MULTILINE)
+_LETTER, _AT_END = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]\W*\Z")
 _STARTER = re.compile(r"^\W*(\w+)\W+(\w+)")
 _ITEM = re.compile(r"^\s*(?:[-*•+]|\d{1,3}[.)])\s")
 _STAMP = re.compile(r"^(?:\d{4}-\d\d-\d\d[T ][\d:.,]+\s+(?:[A-Z]+\s+)?\S+:\s*|[QA]:\s*|Note:\s*)")
@@ -33,8 +35,9 @@ _CODE_LINE = re.compile(
 _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!include))")
 #: Least share of sentences with a full stop that makes a kind of sentence, or an author, one that sets them.
 SETS_STOPS = 0.7
-#: A word that ends a sentence or line less often than this, of at least so many occurrences, ends no text.
-ENDS_SHARE, ENDS_COUNT = 0.004, 40
+#: A word that ends a sentence or line less often than this ends no text; so many endings are counted beside those seen, so
+#: that a rate from few occurrences proves nothing.
+ENDS_SHARE, ENDS_PRIOR = 0.004, 0.16
 #: A token that occurs by itself at most this often for each occurrence of the words it begins is no word but a piece of one.
 FRAGMENT_SHARE = 1 / 200
 #: Shorter texts are entries like "n/a", of which a last word proves nothing.
@@ -51,91 +54,162 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def word_statistics(text: str, counts: Counter) -> None:
-    """Add a text's words, except an unstopped last one (kind f), and its finished sentences' beginnings to ``counts``."""
-    lines = text.rstrip().split("\n")
-    for i, line in enumerate(lines):
-        final_line = i == len(lines) - 1
-        pieces = [p for p in _SENTENCES.split(line) if p and p.strip()]
-        for k, piece in enumerate(pieces):
-            last = final_line and k == len(pieces) - 1
-            found = words(piece)
-            if not found:
-                continue
-            for w in found[:-1]:
-                counts["w", w, 0] += 1
-            tail = piece.rstrip()
-            if last and not _STOP.search(tail) and re.search(r"[^\W\d_]$", tail):
-                counts["f", found[-1], 1] += 1
-            if not last or _STOP.search(tail):
-                at_end = bool(re.search(r"[^\W\d_]\W*$", tail))
-                counts["w", found[-1], int(at_end)] += 1
-                start = _STARTER.match(_STAMP.sub("", piece))
-                if start and not _ITEM.match(piece):
-                    counts["s", f"{_plain(start[1])} {_plain(start[2])}", int(bool(_STOP.search(tail)))] += 1
+def stops(t: str) -> bool:
+    """Whether a text ends with a full stop, behind which quotes and brackets may stand."""
+    return t.rstrip(_CLOSERS)[-1:] in _STOPS
+
+
+def sentences(t: str) -> list[str]:
+    """Pieces between line ends and full stops with white space behind them; blank ones are left out."""
+    out, at = [], 0
+    for m in _END.finditer(t):
+        stop = m.start() + (t[m.start()] != "\n")
+        if t[at:stop].strip():
+            out.append(t[at:stop])
+        at = m.end()
+    if t[at:].strip():
+        out.append(t[at:])
+    return out
+
+
+class Statistics:
+    """Counts of (kind, key, ends): words (w), unstopped last words (f) and beginnings of finished sentences (s).
+
+    White-space tokens, last tokens and beginnings are counted as they stand; only distinct ones are looked into.
+    """
+
+    def __init__(self):
+        self.tokens, self.last, self.begin, self.final, self.slow = Counter(), Counter(), Counter(), Counter(), Counter()
+
+    def __len__(self) -> int:
+        return len(self.tokens) + len(self.last) + len(self.begin)
+
+    def add(self, text: str) -> None:
+        """A text's words, except an unstopped last one, and its finished sentences."""
+        self.tokens.update(text.split())
+        pieces = sentences(text.rstrip())
+        tails = [p.rstrip() for p in pieces]
+        stopped = [stops(t) for t in tails]
+        self.last.update([t.rsplit(None, 1)[-1] for t in (tails if not tails or stopped[-1] else tails[:-1])])
+        for k, (piece, stop) in enumerate(zip(pieces, stopped, strict=True)):
+            if k == len(pieces) - 1 and not stop:
+                self._unfinished(tails[k])
+            elif not _ITEM.match(piece):
+                head = piece[_STAMP.match(piece).end() :] if _STAMP.match(piece) else piece
+                start = _STARTER.match(head)
+                if start:
+                    self.begin[start[1], start[2], stop] += 1
+
+    def _unfinished(self, tail: str) -> None:
+        found = words(tail)
+        if found:
+            self.slow["w", found[-1], 0] -= 1
+            if _LETTER.match(tail[-1]):
+                self.final[found[-1]] += 1
+
+    def rows(self) -> Counter:
+        """The counts, with negative corrections of words."""
+        out: Counter = Counter(self.slow)
+        for token, n in self.tokens.items():
+            for w in words(token):
+                out["w", w, 0] += n
+        for token, n in self.last.items():
+            found = words(token)
+            if found and _AT_END.search(token):
+                out["w", found[-1], 1] += n
+                out["w", found[-1], 0] -= n
+        for (x, y, stop), n in self.begin.items():
+            out["s", f"{_plain(x)} {_plain(y)}", int(stop)] += n
+        for w, n in self.final.items():
+            out["f", w, 1] += n
+        return out
 
 
 def _plain(w: str) -> str:
     return "0" if w[0].isdigit() else w
 
 
+def _has_mark(t: str) -> bool:
+    """Whether a text without trailing white space ends in a mark; marks reach over two lines with text at most."""
+    if t[-1] not in "])>…." and not t[-9:].lower().endswith(("more", "cont", "continued")):
+        return False
+    lines = t.split("\n")
+    k, seen = len(lines), 0
+    while k and seen < 2:
+        k -= 1
+        seen += bool(lines[k].strip())
+    return bool(_MARK.search("\n".join(lines[k:])))
+
+
 def ending(text: str | None) -> dict:
-    """What the end of a text shows by itself."""
-    out = {"mark": False, "broken": False, "ellipsis": False, "stopped": True, "tail": "", "last": "", "item": False, "starter": "", "author": -1.0, "inline": False, "brief": False, "code": False, "in_number": False, "open_code": False}
+    """What the end of a text shows by itself; of texts that end with a stop no more than that is asked."""
+    out = {"mark": False, "broken": False, "ellipsis": False, "stopped": True, "tail": None, "last": None, "item": False, "starter": None, "author": -1.0, "inline": False, "brief": False, "code": False, "in_number": False, "open_code": False}
     if not text or not text.strip():
         return out
     t = text.rstrip()
-    out["broken"] = t.endswith("�")
-    out["mark"] = bool(_MARK.search(t))
-    if _ELLIPSIS.search(t) and not out["mark"]:
+    out["broken"] = t.endswith("\ufffd")
+    out["mark"] = _has_mark(t)
+    if t.endswith(("...", "…")) and not out["mark"]:
         out["ellipsis"] = True
-        t = _ELLIPSIS.sub("", t)
-    out["stopped"] = bool(_STOP.search(t)) or bool(re.search(r"[\]})>\"'”’»|:`~*_=]$|[:;]-?[)(DP]$", t))
-    tail = _TAIL.search(t)
+        t = _ELLIPSIS.sub("", t[-8:]) if len(t) < 9 else t[:-8] + _ELLIPSIS.sub("", t[-8:])
+    out["stopped"] = stops(t) or t[-1:] in _CLOSED or bool(_SMILE.search(t[-3:]))
+    out["in_number"] = t[-1:] == "." and t[-2:-1].isdigit()
+    out["open_code"] = ("```" in t and len(_TICKS.findall(t)) % 2 == 1) or (t.count("{") > t.count("}") and len(_CODE_LINE.findall(t)) >= 2)
+    if out["stopped"] and not out["ellipsis"]:
+        return out
+    tail = _TAIL.search(t[t.rfind("\n") + 1 :])
     if tail and not text[len(t) :].count("\n"):
-        out["tail"] = words(tail[0])[-1] if words(tail[0]) else ""
-    found = words(t[-200:])
-    out["last"] = found[-1] if found and re.search(r"[^\W\d_]\Z", t) else ""
+        found = words(tail[0])
+        out["tail"] = found[-1] if found else None
     lines = t.split("\n")
     line = lines[-1]
+    if line and _LETTER.match(line[-1]):
+        found = words(line)
+        out["last"] = found[-1] if found else None
     out["item"] = bool(_ITEM.match(line))
     above = lines[-2].split() if len(lines) > 1 else []
     out["brief"] = len(line.split()) <= 3 and not re.search(r"\d", line) and 0 < len(above) <= 3
-    pieces = [p for p in _SENTENCES.split(_COMMENT_LINE.sub("", _STAMP.sub("", line)).lstrip()) if p and p.strip()]
+    pieces = sentences(_COMMENT_LINE.sub("", line[_STAMP.match(line).end() :] if _STAMP.match(line) else line).lstrip())
     out["inline"] = len(pieces) > 1
     if pieces:
         start = _STARTER.match(pieces[-1])
-        out["starter"] = f"{_plain(start[1])} {_plain(start[2])}" if start else ""
-    earlier = [p.rstrip() for p in _SENTENCES.split(t) if p and p.strip()][:-1]
-    prose = [p for p in earlier if not _ITEM.match(p) and len(p.split()) >= 5 and not _CODE_LINE.search(p)]
+        out["starter"] = f"{_plain(start[1])} {_plain(start[2])}" if start else None
+    prose = [p for p in sentences(t)[:-1] if not _ITEM.match(p) and len(p.split()) >= 5 and not _CODE_LINE.search(p.rstrip())]
     if prose:
-        out["author"] = sum(bool(_STOP.search(p)) for p in prose) / len(prose)
-    code = t[-4000:]
-    out["code"] = len(_CODE_LINE.findall(code)) >= 2 and bool(_CODE_LINE.search("\n".join(lines[-3:]))) and not _COMMENT_LINE.match(line)
-    out["in_number"] = bool(re.search(r"\d\.$", t))
-    fences = len(re.findall(r"^\s*```", t, re.MULTILINE)) % 2 == 1
-    out["open_code"] = fences or (t.count("{") > t.count("}") and len(_CODE_LINE.findall(t)) >= 2)
+        out["author"] = sum(stops(p.rstrip()) for p in prose) / len(prose)
+    out["code"] = bool(_CODE_LINE.search("\n".join(lines[-3:]))) and not _COMMENT_LINE.match(line) and len(_CODE_LINE.findall(t)) >= 2
     return out
 
 
-_FEATURES = "doc_id bigint, source string, n bigint, b bigint, h bigint, announced bigint, mark boolean, broken boolean, ellipsis boolean, stopped boolean, tail string, last string, item boolean, starter string, author double, inline boolean, brief boolean, code boolean, in_number boolean, open_code boolean"
+_EVIDENCE = "n bigint, b bigint, h bigint, announced bigint, mark boolean, broken boolean, ellipsis boolean, stopped boolean, tail string, last string, item boolean, starter string, author double, inline boolean, brief boolean, code boolean, in_number boolean, open_code boolean"
+_SCANNED = f"part string, kind string, key string, ends int, k bigint, doc_id bigint, source string, {_EVIDENCE}"
 
 
-def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
-    for pdf in batches:
-        for text in pdf["text"]:
-            word_statistics(text, counts)
-        if len(counts) > 200_000:
-            yield pd.DataFrame([(k, w, e, n) for (k, w, e), n in counts.items()], columns=["kind", "key", "ends", "n"])
-            counts.clear()
-    yield pd.DataFrame([(k, w, e, n) for (k, w, e), n in counts.items()], columns=["kind", "key", "ends", "n"])
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass over the texts: rows of statistics (part w) and of endings (part e)."""
+    counts = Statistics()
+
+    columns = dict(c.split() for c in _SCANNED.split(", "))
 
+    def frame(found: dict, n: int) -> pd.DataFrame:
+        """All columns, plain objects, null where there is nothing."""
+        return pd.DataFrame({c: pd.Series(found[c] if c in found else [None] * n, dtype=object) for c in columns})
+
+    def flush() -> pd.DataFrame:
+        rows = [("w", k, w, e, n) for (k, w, e), n in counts.rows().items() if n]
+        return frame(dict(zip(("part", "kind", "key", "ends", "k"), zip(*rows, strict=True), strict=True)) if rows else {}, len(rows))
 
-def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [ending(t) for t in pdf["text"]]
-        yield pd.concat([pdf.drop(columns="text").reset_index(drop=True), pd.DataFrame(rows, columns=list(ending("")))], axis=1)
+        rows = []
+        for text in pdf["text"]:
+            counts.add(text)
+            rows.append(ending(text))
+        own = {c: pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in pdf.columns if c != "text"}
+        yield frame({"part": ["e"] * len(pdf), **own, **{c: [r[c] for r in rows] for c in ending("")}}, len(pdf))
+        if len(counts) > 400_000:
+            yield flush()
+            counts = Statistics()
+    yield flush()
 
 
 def truncation_evidence(documents: DataFrame) -> DataFrame:
@@ -157,9 +231,10 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     and deliberate ellipses are no cases; a null source has no field limits. Repeats of a doc_id count once.
     """
     base = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "source", F.length("text").cast("bigint").alias("n"), F.octet_length("text").cast("bigint").alias("b"), F.xxhash64("text").alias("h"), F.col("announced_chars").cast("bigint").alias("announced"), "text")
-    stats = base.select("text").mapInPandas(_statistics, "kind string, key string, ends int, n bigint")
-    stats = materialize(stats.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("ends")).alias("at_end")), "words")
-    ends = materialize(base.mapInPandas(_endings, _FEATURES).dropDuplicates(["doc_id"]), "endings")
+    scanned = materialize(base.mapInPandas(_scan, _SCANNED), "scan", partition_by=["part"])
+    stats = scanned.where("part = 'w'").groupBy("kind", "key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("ends")).alias("at_end"))
+    stats = materialize(stats.where("n > 0"), "words")
+    ends = scanned.where("part = 'e'").drop("part", "kind", "key", "ends", "k").dropDuplicates(["doc_id"])
     vocabulary = stats.where("kind = 'w'")
     nodes = vocabulary.where("n >= 2 and length(key) > 1").select(F.explode(F.expr("transform(sequence(1, length(key) - 1), i -> substring(key, 1, i))")).alias("tail"), "n").groupBy("tail").agg(F.sum("n").alias("below"))
     units = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in "nb"])
@@ -178,11 +253,21 @@ def truncation_evidence(documents: DataFrame) -> DataFrame:
     final = vocabulary.select(F.col("key").alias("last"), F.col("n").alias("last_n"), F.col("at_end").alias("last_end"))
     closing = stats.where("kind = 'f'").select(F.col("key").alias("last"), F.col("n").alias("last_final"))
     begin = stats.where("kind = 's'").select(F.col("key").alias("starter"), F.col("n").alias("start_n"), F.col("at_end").alias("start_stop"))
-    df = ends.join(chars, ["source", "n"], "left").join(octets, ["source", "b"], "left").join(known, "tail", "left").join(nodes, "tail", "left").join(final, "last", "left").join(closing, "last", "left").join(begin, "starter", "left")
+    df = ends.join(chars, ["source", "n"], "left").join(octets, ["source", "b"], "left")
+    # only texts without a stop ask for words, each distinct word once; a word that ends a third of them is a hot key of
+    # a left join, which adaptive skew handling splits
+    open_ends = F.coalesce(~F.col("stopped") | F.col("ellipsis"), F.lit(False))
+    asking = materialize(df.where(open_ends), "open")
+    for key, facts in (("tail", (known, nodes)), ("last", (final, closing)), ("starter", (begin,))):
+        asked = asking.where(F.col(key).isNotNull()).select(key).distinct()
+        for fact in facts:
+            asked = asked.join(fact, key, "left")
+        asking = asking.join(broadcast_if_small(asked, 200_000), key, "left")
+    df = asking.unionByName(df.where(~open_ends), allowMissingColumns=True)
     df = df.withColumn("at_limit", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
     df = df.withColumn("short", F.coalesce((F.col("announced") > F.col("n")) & (F.col("announced") > F.col("b")), F.lit(False)))
-    unknown = (F.col("tail") != "") & (F.coalesce("tail_n", F.lit(0)) <= FRAGMENT_SHARE * F.col("below")) & (F.col("below") > 0)
-    never = (F.col("last") != "") & (F.col("last_n") >= ENDS_COUNT) & (F.col("last_end") + F.coalesce("last_final", F.lit(0)) < ENDS_SHARE * F.col("last_n")) & (F.col("n") >= LEAST_CHARS)
+    unknown = (F.coalesce("tail_n", F.lit(0)) <= FRAGMENT_SHARE * F.col("below")) & (F.col("below") > 0)
+    never = (F.col("last_end") + F.coalesce("last_final", F.lit(0)) + ENDS_PRIOR < ENDS_SHARE * (F.col("last_n") + ENDS_PRIOR)) & (F.col("n") >= LEAST_CHARS)
     prose = (F.col("start_n") >= 5) & (F.col("start_stop") >= SETS_STOPS * F.col("start_n"))
     loose = ~F.col("stopped") & ~F.col("ellipsis")
     reason = (

@@ -168,7 +168,9 @@ def test_cut_words_do_not_depend_on_the_size(spark):
 
 def test_words_and_endings():
     assert truncation.words("fooBar_baz Straße ABC") == ["foo", "bar", "baz", "straße", "abc"]
-    counts = Counter()
-    truncation.word_statistics("One two. Three fo", counts)
+    statistics = truncation.Statistics()
+    statistics.add("One two. Three fo")
+    counts = Counter(statistics.rows())
+    assert truncation.sentences("A b.  C!\n\n (d?) e") == ["A b.", "C!", "(d?", "e"]
     assert counts["w", "fo", 0] == counts["w", "fo", 1] == 0 and counts["f", "fo", 1] == 1 and counts["w", "two", 1] == 1
     assert truncation.ending(None)["stopped"] and truncation.ending("a b (continued)")["mark"] is False and truncation.ending("a b... (continued)")["mark"]
