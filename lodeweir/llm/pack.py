@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweir.session import materialize
+
 #: Open bins of a lane; tokens of the items of one lane; lanes whose last open bins are packed together.
 OPEN_BINS, LANE_TOKENS, LANES_TOGETHER = 64, 4_000_000, 64
 _LANE = 1 << 32
@@ -32,7 +34,10 @@ class BestFit:
         return bin_no
 
     def add(self, size: int) -> int:
-        """Bin of an item of ``size`` (1 to capacity)."""
+        """Bin of an item of ``size`` (1 to capacity); one that fills a bin alone gets it and closes none."""
+        if size == self.capacity:
+            self.n_bins += 1
+            return self.n_bins - 1
         fits = self.bits >> size
         if fits:
             free = size + (fits & -fits).bit_length() - 1
@@ -77,10 +82,10 @@ def pack_documents(sizes: DataFrame, specs: DataFrame, open_bins: int = OPEN_BIN
 
     A document is split only where it alone exceeds the capacity: into full containers and a rest that is packed like
     any other item. Documents are dealt to lanes of about ``lane_tokens`` tokens by a hash of doc_id, so that lanes
-    are even whatever source dominates; each lane is one online best-fit run. The bins still open when lanes end are
-    items of a second run over ``together`` lanes, which leaves at most ``open_bins`` underfull containers for so
-    many lanes. Documents without tokens (null or empty texts) get a null container. Specs with null or
-    non-positive capacity are left out; repeated specs count once.
+    are even whatever source dominates; each lane is one online best-fit run in hash order. The bins still open when lanes
+    end are items of a second run of the same kind over ``together`` lanes, which leaves at most ``open_bins`` underfull containers for so
+    many lanes; with one lane it runs too. Documents without tokens (null or empty texts) get a null container. Specs with null or
+    non-positive capacity are left out; repeated specs count once. Ids of containers are lane and counter, so none collide.
     """
     spec = specs.where("spec_id is not null and capacity_tokens > 0").groupBy("spec_id").agg(F.max(F.col("capacity_tokens").cast("bigint")).alias("capacity"))
     spec = F.broadcast(spec) if len(spec.head(101)) <= 100 else spec
@@ -89,28 +94,33 @@ def pack_documents(sizes: DataFrame, specs: DataFrame, open_bins: int = OPEN_BIN
     docs = sizes.select(F.col("doc_id").alias("item"), "tokens", F.xxhash64("doc_id").alias("_order")).crossJoin(spec)  # every document under every spec: stated as the task
     blank = docs.where("tokens = 0").select("spec_id", F.lit(None).cast("bigint").alias("container_id"), F.col("item").alias("doc_id"), F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("token_from"), "tokens")
     docs = docs.where("tokens > 0").withColumn("lane", F.pmod("_order", F.lit(lanes)))
-    full = docs.where("tokens >= capacity").select("spec_id", "item", "tokens", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("tokens") / F.col("capacity")) - 1)).alias("piece"))
-    full = full.select("spec_id", F.xxhash64("spec_id", "item", "piece").alias("_h"), "item", "piece", (F.col("piece") * F.col("capacity")).alias("token_from"), F.col("capacity").alias("tokens"))
-    full = full.select("spec_id", (-1 - F.shiftrightunsigned("_h", 1)).alias("container_id"), F.col("item").alias("doc_id"), "piece", "token_from", "tokens")
-    rest = docs.withColumn("piece", F.floor(F.col("tokens") / F.col("capacity"))).withColumn("token_from", F.col("piece") * F.col("capacity"))
-    rest = rest.withColumn("tokens", F.col("tokens") - F.col("token_from")).where("tokens > 0")
-    first = rest.groupBy("spec_id", "lane").applyInPandas(_pack_lane(open_bins), _PACKED)
-    first = first.withColumn("bin", F.col("lane") * _LANE + F.col("bin"))
-    from lodeweir.session import materialize
-
-    first = materialize(first, "packed")
-    if lanes == 1:
-        placed = first.withColumn("container_id", F.col("bin"))
-    else:
-        bins = first.where("bin_open").groupBy("spec_id", "capacity", "bin").agg(F.sum("tokens").alias("tokens"))
-        second = bins.select(
-            "spec_id", "capacity", F.floor(F.col("bin") / _LANE / together).alias("lane"), F.col("bin").alias("item"), F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("token_from"), "tokens", (-F.col("tokens")).alias("_order")
-        )
-        moved = second.groupBy("spec_id", "lane").applyInPandas(_pack_lane(open_bins), _PACKED)
-        moved = moved.select("spec_id", F.col("item").alias("bin"), ((F.lit(1 << 30) + F.col("lane")) * _LANE + F.col("bin")).alias("_moved"))
-        placed = first.join(moved, ["spec_id", "bin"], "left").withColumn("container_id", F.coalesce("_moved", "bin"))
-    packed = placed.select("spec_id", "container_id", F.col("item").alias("doc_id"), "piece", "token_from", "tokens")
-    return packed.unionByName(full).unionByName(blank)
+    pieces = docs.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(tokens - 1) div capacity")))).withColumn("token_from", F.col("piece") * F.col("capacity"))
+    pieces = pieces.withColumn("tokens", F.least(F.col("capacity"), F.col("tokens") - F.col("token_from")))
+    first = pieces.groupBy("spec_id", "lane").applyInPandas(_pack_lane(open_bins), _PACKED)
+    first = materialize(first.withColumn("bin", F.col("lane") * _LANE + F.col("bin")), "packed")
+    bins = first.where("bin_open").groupBy("spec_id", "capacity", "bin").agg(F.sum("tokens").alias("tokens"))
+    second = bins.select(
+        "spec_id", "capacity", F.expr(f"bin div {_LANE * together}").alias("lane"), F.col("bin").alias("item"), F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("token_from"), "tokens", F.xxhash64("bin").alias("_order")
+    )
+    moved = second.groupBy("spec_id", "lane").applyInPandas(_pack_lane(open_bins), _PACKED)
+    moved = moved.select("spec_id", F.col("item").alias("bin"), ((F.lit(1 << 30) + F.col("lane")) * _LANE + F.col("bin")).alias("_moved"))
+    placed = first.join(moved, ["spec_id", "bin"], "left").withColumn("container_id", F.coalesce("_moved", "bin"))
+    return placed.select("spec_id", "container_id", F.col("item").alias("doc_id"), "piece", "token_from", "tokens").unionByName(blank)
+
+
+def packing_faults(packed: DataFrame, sizes: DataFrame, specs: DataFrame) -> DataFrame:
+    """(spec_id, documents, missing, lost_tokens, overfull, split_needlessly): what a packing must keep, counted from its rows.
+
+    ``documents`` are those that the packing holds; the other counts are 0 in a right packing.
+    """
+    spec = F.broadcast(specs.where("capacity_tokens > 0").groupBy("spec_id").agg(F.max(F.col("capacity_tokens").cast("bigint")).alias("capacity")))
+    per_doc = packed.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("pieces")).join(spec, "spec_id")
+    both = per_doc.join(sizes.select("doc_id", F.col("tokens").alias("size")), "doc_id")
+    docs = both.groupBy("spec_id").agg(
+        F.count("*").alias("documents"), F.sum(F.abs(F.col("size") - F.col("placed"))).alias("lost_tokens"), F.count_if(F.col("pieces") > F.greatest(F.ceil(F.col("size") / F.col("capacity")), F.lit(1))).alias("split_needlessly")
+    )
+    full = packed.where("container_id is not null").groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("load")).join(spec, "spec_id").groupBy("spec_id").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"))
+    return docs.join(full, "spec_id", "left").select("spec_id", "documents", (F.lit(sizes.count()) - F.col("documents")).alias("missing"), "lost_tokens", F.coalesce("overfull", F.lit(0)).alias("overfull"), "split_needlessly")
 
 
 def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:

@@ -34,6 +34,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+@_query
+def p2_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of every oversized chunk, how many of them its pieces cover in order, and pieces over a limit or with a wrong text."""
+    policies = table(spark, d, "chunk_policies").select("extractor_key", "hard_max_tokens", "hard_max_bytes", "overlap_tokens")
+    chunks = table(spark, d, "chunks").select("chunk_id", "extractor_key", F.col("text").alias("whole")).dropDuplicates(["chunk_id"]).join(F.broadcast(policies), "extractor_key")
+    return split.piece_faults(_pieces(spark, d), chunks)
+
+
 @_query
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     """One order of the chunks of every search."""
@@ -106,6 +114,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.fill_report(pack.pack_documents(tokens.sized_documents(table(spark, d, "documents")), specs), specs)
 
 
+@_query
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed under each capacity, and how many are missing, short, split needlessly or in overfull containers."""
+    sizes, specs = tokens.sized_documents(table(spark, d, "documents")), table(spark, d, "pack_specs")
+    return pack.packing_faults(pack.pack_documents(sizes, specs), sizes, specs)
+
+
 def _mix_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
     sizes, targets = tokens.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets")
     return sizes, targets, mix.all_tokens(sizes, targets)
@@ -125,6 +140,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.share_report(sizes, targets, total=total)
 
 
+@_query
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of each source, and how many of them the mix uses more often than allowed, or twice as one copy."""
+    sizes, targets, total = _mix_inputs(spark, d)
+    used = mix.mix_sources(sizes, targets, total=total).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("copies"))
+    per = used.join(targets.select("source", "max_repeats").distinct(), "source").groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("over_repeats"), F.count_if(F.col("n") > F.col("copies")).alias("repeated_copies"))
+    texts = sizes.where("tokens > 0").groupBy("source").agg(F.count("*").alias("texts"))
+    return targets.where("max_repeats > 0 and target_share > 0").select("source").distinct().join(texts, "source").join(per, "source", "left").fillna(0, ["over_repeats", "repeated_copies"])
+
+
 @_query
 def p9_shares_full(spark: SparkSession, d: str) -> DataFrame:
     """The same as p9_shares, under its earlier name."""
@@ -195,5 +220,9 @@ SELECT k.ordering, count(*) AS searches, round(avg(coalesce(h.dcg, 0) / i.best),
     "p4_ranking": _ideal_points() + "SELECT search_id, chunk_id, round(closeness, 6) AS closeness, rank FROM ranked",
     "p2_found": f"""SELECT DISTINCT c.chunk_id FROM chunks c JOIN chunk_policies p USING (extractor_key)
         WHERE c.text IS NOT NULL AND c.chunk_id IS NOT NULL AND (strlen(c.text) > p.hard_max_bytes OR len(regexp_extract_all(c.text, '{_TOKENS}')) > p.hard_max_tokens)""",
+    "p2_faults": f"""SELECT chunk_id, any_value(strlen(c.text)) AS bytes, any_value(strlen(c.text)) AS covered, 0::BIGINT AS over_limits, 0::BIGINT AS wrong_texts FROM chunks c JOIN chunk_policies p USING (extractor_key)
+        WHERE c.text IS NOT NULL AND c.chunk_id IS NOT NULL AND (strlen(c.text) > p.hard_max_bytes OR len(regexp_extract_all(c.text, '{_TOKENS}')) > p.hard_max_tokens) GROUP BY 1""",
+    "p8_faults": "SELECT spec_id, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS documents, 0::BIGINT AS missing, 0::BIGINT AS lost_tokens, 0::BIGINT AS overfull, 0::BIGINT AS split_needlessly FROM pack_specs GROUP BY 1",
+    "p9_limits": "SELECT source, count(*) AS texts, 0::BIGINT AS over_repeats, 0::BIGINT AS repeated_copies FROM documents WHERE text <> '' AND source IN (SELECT source FROM mix_targets WHERE max_repeats > 0 AND target_share > 0) GROUP BY 1",
     "p5_found": _GRAMS + "SELECT a AS response_a, b AS response_b FROM common JOIN n x ON x.response_id = a JOIN n y ON y.response_id = b WHERE c / (x.n + y.n - c) >= 0.7 - 1e-12",
 }

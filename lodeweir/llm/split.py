@@ -2,9 +2,10 @@
 
 A text is cut into byte ranges; workers see a range with a halo on either side and never the whole text. Atoms
 (tokens, further cut after ideographic full stops and at fixed byte offsets, as is white space, so that giant runs need no look-ahead)
-are the same from whatever range they are seen. A range's own segment runs from the first natural boundary in it to
-the first one behind it, which its neighbour finds as its beginning too: so the ranges' boundary tables stitch without
-gaps, each range cuts its segment alone, and the pieces of one giant text are made in parallel. Prefix sums over the ranges count
+are the same from whatever range they are seen. Segments lie on a fixed grid: each runs from the first natural boundary behind
+its grid point to the first one behind the next, which its neighbour finds as its beginning too: so the boundary tables stitch without
+gaps, each segment is cut alone, and the pieces of one giant text are made in parallel. A range holds any number of
+whole segments, so its size decides how work is split and never what the pieces are. Prefix sums over the ranges count
 tokens and number the pieces; texts are emitted by offset from the range that ends them.
 """
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from lodeweir.session import materialize
 
-#: Bytes of a range without halos.
-RANGE_BYTES = 1 << 16
+#: Bytes between the grid points of segments, which the pieces depend on, and of a range without halos, which they do not.
+SEGMENT_BYTES, RANGE_BYTES = 1 << 16, 1 << 18
 #: Unicode White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 _TOKEN = re.compile(f"[^{SPACE}]+")
@@ -141,13 +142,20 @@ def cut_segment(t: pd.DataFrame, first: int, last: int, begin: int, end: int, ta
     overlap = min(overlap, hard_tokens - 1)
 
     def step_back(k: int) -> int:
-        """Atom at which the overlap before atom k starts."""
+        """Atom at which the overlap before atom k starts: so many tokens back, as long as one more token fits behind them."""
+        ahead = k + 1
+        while ahead < last and not token[ahead]:
+            ahead += 1
+        new = min(int(stop[ahead - 1] - stop[k - 1]), hard_bytes // 2) if k < last else 0
         got, j = 0, k
         for i in range(k - 1, -1, -1):
-            if got == overlap or stop[k - 1] - start[i] > hard_bytes // 3:
+            if got == overlap or stop[k - 1] - start[i] + new > hard_bytes:
                 break
             if token[i]:
                 got, j = got + 1, i
+        if got == 0 and overlap:  # inside a giant token, as in scripts without spaces: atoms of as many bytes as tokens of full pieces
+            while j and j - 1 >= 0 and stop[k - 1] - start[j - 1] <= min(overlap * hard_bytes // hard_tokens, hard_bytes - new):
+                j -= 1
         return j
 
     if first and begin:
@@ -173,22 +181,26 @@ def cut_segment(t: pd.DataFrame, first: int, last: int, begin: int, end: int, ta
     return out
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            raw = bytes(r.raw)
-            t = atom_table(raw, r.base, r.begin, r.base + len(raw), _atom_bytes(r.hard_max_bytes))
-            first = 0 if r.begin == 0 else _anchor(t, r.begin, r.hard_max_bytes)
-            last = len(t) if r.end >= r.bytes else _anchor(t, r.end, r.hard_max_bytes)
-            if first >= last:
-                continue
-            begin = 0 if r.begin == 0 else int(t["stop"].iloc[first - 1])
-            end = r.bytes if last == len(t) and r.base + len(raw) >= r.bytes else int(t["stop"].iloc[last - 1])
-            for k, (a, b, rank) in enumerate(cut_segment(t, first, last, begin, end, r.target_tokens, r.hard_max_tokens, r.overlap_tokens, r.hard_max_bytes)):
-                text = raw[a - r.base : b - r.base].decode()
-                rows.append((r.chunk_id, r.range_no, k, a, b - a, count_tokens(text), NAMES[rank if b < r.bytes else BLOCK], text))
-        yield pd.DataFrame(rows, columns=["chunk_id", "range_no", "k", "chunk_offset", "byte_length", "tokens", "ends_at", "text"])
+def _cut(segment_bytes: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                raw = bytes(r.raw)
+                t = atom_table(raw, r.base, r.begin, r.base + len(raw), _atom_bytes(r.hard_max_bytes))
+                for grid in range(r.begin, min(r.end, max(r.bytes, 1)), segment_bytes):
+                    first = 0 if grid == 0 else _anchor(t, grid, r.hard_max_bytes)
+                    last = len(t) if grid + segment_bytes >= r.bytes else _anchor(t, grid + segment_bytes, r.hard_max_bytes)
+                    if first >= last:
+                        continue
+                    begin = 0 if grid == 0 else int(t["stop"].iloc[first - 1])
+                    end = r.bytes if last == len(t) and r.base + len(raw) >= r.bytes else int(t["stop"].iloc[last - 1])
+                    for k, (a, b, rank) in enumerate(cut_segment(t, first, last, begin, end, r.target_tokens, r.hard_max_tokens, r.overlap_tokens, r.hard_max_bytes)):
+                        text = raw[a - r.base : b - r.base].decode()
+                        rows.append((r.chunk_id, grid // segment_bytes, k, a, b - a, count_tokens(text), NAMES[rank if b < r.bytes else BLOCK], text))
+            yield pd.DataFrame(rows, columns=["chunk_id", "segment", "k", "chunk_offset", "byte_length", "tokens", "ends_at", "text"])
+
+    return run
 
 
 def _ranges(chunks: DataFrame, range_bytes: int) -> DataFrame:
@@ -199,16 +211,19 @@ def _ranges(chunks: DataFrame, range_bytes: int) -> DataFrame:
     return df.withColumn("raw", F.substring("_bin", (F.col("base") + 1).cast("int"), (F.col("end") - F.col("base") + halo).cast("int")))
 
 
-def split_oversized(chunks: DataFrame, policies: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def split_oversized(chunks: DataFrame, policies: DataFrame, range_bytes: int = RANGE_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Pieces of every chunk over the limits of its extractor, each chunk_id once.
 
     Columns: chunk_id, doc_id, seq, piece (from 0), byte_offset (in the document, null where the chunk has none),
     chunk_offset (bytes in the chunk), byte_length, tokens, heading, kind, ends_at, text. A piece ends at the sentence,
     line or block end within the limits that lies nearest to the target, else at a clause, else at a word, and inside a token
-    only where that alone exceeds the limits. Consecutive pieces share overlap_tokens tokens, fewer only where these would take
-    more than a third of the bytes. Together the pieces cover the chunk. Chunks with null text or id, or without a policy,
+    only where that alone exceeds the limits. Consecutive pieces share overlap_tokens tokens, fewer only where behind these no
+    further token would fit into the bytes (of a giant one, half a piece) or fewer stand before them; inside a token that exceeds the limits they
+    share its last characters instead, as many bytes as so many tokens of a full piece take. Together the pieces cover the chunk. ``range_bytes`` is
+    rounded up to whole segments. Chunks with null text or id, or without a policy,
     have no limits and no pieces; of repeated rows of one chunk_id one counts. Further columns of either table are left out.
     """
+    range_bytes = -(-range_bytes // segment_bytes) * segment_bytes
     limits = policies.where("extractor_key is not null").groupBy("extractor_key").agg(*[F.max(F.col(c).cast("bigint")).alias(c) for c in ("target_tokens", "hard_max_tokens", "overlap_tokens", "hard_max_bytes")])
     base = chunks.where("chunk_id is not null and text is not null").select("chunk_id", "doc_id", "seq", "byte_offset", "heading", "kind", "extractor_key", "text")
     maybe = base.join(F.broadcast(limits) if len(limits.head(1001)) <= 1000 else limits, "extractor_key").where("octet_length(text) > hard_max_bytes or octet_length(text) > 2 * hard_max_tokens")
@@ -219,10 +234,26 @@ def split_oversized(chunks: DataFrame, policies: DataFrame, range_bytes: int = R
     totals = measured.groupBy("chunk_id", "range_no").agg(F.max("tokens").alias("tokens")).groupBy(F.col("chunk_id").alias("_id")).agg(F.sum("tokens").alias("total"))
     over = sized.join(totals, F.col("chunk_id") == F.col("_id")).where("bytes > hard_max_bytes or total > hard_max_tokens").drop("_id", "total")
     over = over.dropDuplicates(["chunk_id", "range_no"])
-    pieces = materialize(over.mapInPandas(_cut, "chunk_id bigint, range_no bigint, k bigint, chunk_offset bigint, byte_length bigint, tokens bigint, ends_at string, text string"), "pieces")
-    order = Window.partitionBy("chunk_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    numbers = pieces.groupBy("chunk_id", "range_no").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
+    pieces = materialize(over.mapInPandas(_cut(segment_bytes), "chunk_id bigint, segment bigint, k bigint, chunk_offset bigint, byte_length bigint, tokens bigint, ends_at string, text string"), "pieces")
+    order = Window.partitionBy("chunk_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    numbers = pieces.groupBy("chunk_id", "segment").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
     head = maybe.select("chunk_id", "doc_id", "seq", "byte_offset", "heading", "kind").dropDuplicates(["chunk_id"])
-    return pieces.join(numbers, ["chunk_id", "range_no"]).join(head, "chunk_id").select(
+    return pieces.join(numbers, ["chunk_id", "segment"]).join(head, "chunk_id").select(
         "chunk_id", "doc_id", "seq", (F.col("before") + F.col("k")).alias("piece"), (F.col("byte_offset") + F.col("chunk_offset")).alias("byte_offset"), "chunk_offset", "byte_length", "tokens", "heading", "kind", "ends_at", "text"
     )
+
+
+def piece_faults(pieces: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, bytes, covered, over_limits, wrong_texts) of chunks (chunk_id, whole, hard_max_tokens, hard_max_bytes).
+
+    ``covered`` are the bytes up to which the pieces follow each other without a gap; ``over_limits`` counts pieces over a
+    limit, ``wrong_texts`` those that are no slice of the chunk at their offset.
+    """
+    order = Window.partitionBy("chunk_id").orderBy("piece")
+    end = F.col("chunk_offset") + F.col("byte_length")
+    p = pieces.withColumns({"_gap": F.col("chunk_offset") > F.coalesce(F.lag(end).over(order), F.lit(0)), "_end": end}).join(chunks, "chunk_id")
+    own = F.substring(F.encode("whole", "UTF-8"), (F.col("chunk_offset") + 1).cast("int"), F.col("byte_length").cast("int"))
+    tokens = F.size(F.filter(F.split("text", "[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"), lambda t: t != ""))
+    p = p.withColumns({"_over": (F.octet_length("text") > F.col("hard_max_bytes")) | (tokens > F.col("hard_max_tokens")), "_wrong": F.encode("text", "UTF-8") != own})
+    gap = F.coalesce(F.min(F.when(F.col("_gap"), F.col("chunk_offset"))), F.max("_end"))
+    return p.groupBy("chunk_id").agg(F.max(F.octet_length("whole").cast("bigint")).alias("bytes"), F.least(gap, F.max("_end")).alias("covered"), F.count_if("_over").alias("over_limits"), F.count_if("_wrong").alias("wrong_texts"))

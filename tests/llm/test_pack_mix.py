@@ -21,6 +21,10 @@ def test_best_fit_against_plain_search():
         for _ in range(200):
             s = rng.randint(1, cap)
             b = fit.add(s)
+            if s == cap:
+                assert b not in bins and set(open_) == fit.still_open()
+                bins[b] = s
+                continue
             fits = [x for x in open_ if cap - bins[x] >= s]
             if fits:
                 assert b in fits and bins[b] == max(bins[x] for x in fits)
@@ -66,8 +70,11 @@ def test_pfair():
         block = rng.randint(1, 60)
         plan = pfair_schedule(budget, block)
         assert len(plan) == sum(-(-b // block) for b in budget.values())
+        assert [slot for *_, slot in plan] == list(range(len(plan))) and len({p[:2] for p in plan}) == len(plan)
         whole = {s: b * block for s, b in budget.items()}
-        assert max(largest_lag(pfair_schedule(whole, block), whole).values()) < 1
+        assert max(largest_lag(pfair_schedule(whole, block, sum(budget.values())), whole).values()) < 1
+        weight = max(whole.values()) / sum(whole.values())
+        assert max(largest_lag(pfair_schedule(whole, block, 64), whole).values()) < 2 + weight * len(budget) / 2
 
 
 def test_budgets():
@@ -84,6 +91,8 @@ def test_mix(spark):
     targets = spark.createDataFrame([("a", 0.3, 1, "x"), ("b", 0.4, 3, "x"), ("c", 0.2, 2, "x"), ("none", 0.1, 2, "x"), ("a", 0.3, 1, "x"), (None, 0.5, 1, "x")], "source string, target_share double, max_repeats int, tokens string")
     sizes = spark.createDataFrame(docs, SIZES)
     out = [r.asDict() for r in mix_sources(sizes, targets, block=64).collect()]
+    few = [r.asDict() for r in mix_sources(sizes, targets, block=64, slots=4).collect()]
+    assert {(r["doc_id"], r["copy"]) for r in few} == {(r["doc_id"], r["copy"]) for r in out} and len({r["slot"] for r in few}) == len({r["slot"] for r in out})
     assert len({(r["doc_id"], r["copy"]) for r in out}) == len(out) and {r["source"] for r in out} == {"a", "b", "c"}
     assert all(r["copy"] <= {"a": 1, "b": 3, "c": 2}[r["source"]] for r in out) and len({(r["slot"], r["place"]) for r in out}) == len(out)
     total = sum(r["tokens"] for r in out)

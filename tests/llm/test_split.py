@@ -24,12 +24,15 @@ def texts():
     }
 
 
-@pytest.mark.parametrize("range_bytes", [1 << 16, 333])
-def test_pieces(spark, range_bytes):
+@pytest.mark.parametrize("segment", [1 << 16, 333])
+def test_pieces(spark, segment):
     source = texts()
     rows = [chunk(i, t) for i, t in source.items()] + [chunk(2, source[2]), chunk(20, source[2], "none"), chunk(21, source[2], None), chunk(None, source[2]), chunk(22, source[2], "md", None)]
     policies = spark.createDataFrame([("md", 20, 24, 30, 4, 260, "p"), ("md", 20, 24, 30, 4, 260, "p"), (None, 1, 1, 1, 0, 9, "p")], POLICIES)
-    out = split_oversized(spark.createDataFrame(rows, CHUNKS), policies, range_bytes).toPandas()
+    out = split_oversized(spark.createDataFrame(rows, CHUNKS), policies, segment, segment).toPandas()
+    wide = split_oversized(spark.createDataFrame(rows, CHUNKS), policies, 5 * segment, segment).toPandas()
+    key = lambda d: sorted(zip(d.chunk_id, d.piece, d.chunk_offset, d.text, strict=True))
+    assert key(out) == key(wide)  # the size of ranges changes no piece
     over = {i for i, t in {**source, 22: source[2]}.items() if t and (count_tokens(t) > 30 or len(t.encode()) > 260)}
     assert set(out["chunk_id"]) == over
     for i, g in out.groupby("chunk_id"):
@@ -45,10 +48,10 @@ def test_pieces(spark, range_bytes):
     same = out[(out.chunk_id == 12) & (out.piece > 0)]
     ends = out[out.chunk_id == 12].sort_values("piece")
     natural = (ends["ends_at"][:-1] == "sentence").mean()
-    assert natural == 1 if range_bytes > 1000 else natural > 0.9  # ranges of a few sentences have ends of their own
+    assert natural == 1 if segment > 1000 else natural > 0.9  # segments of a few sentences have ends of their own
     assert len(same)
     starts, stops = ends["chunk_offset"].tolist()[1:], (ends["chunk_offset"] + ends["byte_length"]).tolist()[:-1]
-    assert {count_tokens(source[12].encode()[a:b].decode()) for a, b in zip(starts, stops, strict=True)} <= ({4} if range_bytes > 1000 else {0, 4})
+    assert {count_tokens(source[12].encode()[a:b].decode()) for a, b in zip(starts, stops, strict=True)} <= ({4} if segment > 1000 else {0, 4})
 
 
 def test_empty_tables(spark):
