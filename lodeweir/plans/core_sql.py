@@ -12,6 +12,24 @@ pending AS (SELECT r.doc_id, r.hash, r.recorded_at FROM r LEFT JOIN i USING (doc
       WHERE r.active AND (i.doc_id IS NULL OR i.hash <> r.hash OR (r.fts_dirty AND i.processed_at < r.recorded_at)))
 """
 
+_CUT = "(SELECT epoch_us(max(recorded_at)) - (epoch_us(max(recorded_at)) - epoch_us(min(recorded_at))) / 10 FROM document_rows)"
+
+
+def _after_update(k: int) -> tuple[str, str]:
+    """Documents touched by an update and pending after it, where the second sees all records."""
+    before = "true" if k == 2 else f"coalesce(epoch_us({{}}) <= {_CUT}, true)"
+    now = f"NOT coalesce(epoch_us({{}}) <= {_CUT}, true)" if k == 2 else before
+    part = _PENDING.replace("FROM document_rows QUALIFY", f"FROM document_rows WHERE {before.format('recorded_at')} QUALIFY").replace("WHERE i.outcome", f"WHERE {before.format('i.processed_at')} AND i.outcome")
+    durable = "i.outcome <> 'extract_failed' AND (u.status = 'succeeded' OR i.item_seq <= u.checkpoint_seq)"
+    touched = f"SELECT doc_id FROM document_rows WHERE {now.format('recorded_at')} UNION SELECT i.doc_id FROM update_items i JOIN u USING (run_id) WHERE {durable} AND {now.format('i.processed_at')}"
+    return f"SELECT {k} AS update, (SELECT count(*) FROM (SELECT doc_id FROM ({touched}) WHERE doc_id IS NOT NULL)) AS touched, count(*) AS pending FROM pending", part
+
+
+def _two_updates() -> str:
+    (first, a), (second, b) = _after_update(1), _after_update(2)
+    return f"SELECT * FROM ({a} {first}) UNION ALL SELECT * FROM ({b} {second})"
+
+
 _ORPHANS = r"""
 WITH cases AS (SELECT case_id, max(space_name) AS case_space FROM eval_cases GROUP BY 1),
 cols AS (SELECT DISTINCT collection_id, space_name, collection_name, created, removed_at FROM collections),
@@ -36,6 +54,7 @@ orphans AS (
 SQL = {
     "p1_found": _PENDING + "SELECT doc_id FROM pending",
     "p1_pending_by_month": _PENDING + "SELECT strftime(recorded_at, '%Y-%m') AS month, count(*) AS documents FROM pending GROUP BY 1",
+    "p1_two_updates": _two_updates(),
     "p3_found": _ORPHANS + "SELECT ref_table, ref_id FROM orphans",
     "p3_orphans_by_month": _ORPHANS + "SELECT ref_table, strftime(ref_at, '%Y-%m') AS month, count(*) AS orphans FROM orphans GROUP BY 1, 2",
 }

@@ -5,6 +5,7 @@ Layout below ``root``::
     data/<commit>/part-*.parquet      immutable record files
     vectors/<commit>/part-*.parquet   deletion vectors: (file, position) of records that a commit removed
     manifests/<version>.json          {"version", "added", "removed", "vectors", "properties"}
+    checkpoints/<version>.json        {"live", "vectors", "properties"}: the whole state, every CHECKPOINT_EVERY versions
 
 A manifest is renamed into place without overwriting, so that of two writers of one version one fails and nothing
 is half committed: files without a manifest are never read. A consumer keeps the source version that it has
@@ -22,8 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeweir.session import broadcast_if_small
+
 VECTOR_SCHEMA = "file string, position bigint"
 FILE, POSITION = "_lw_file", "_lw_position"
+#: Versions between checkpoints, so that a state is read from one checkpoint and fewer manifests than this; keys of a
+#: merge that are broadcast to the old records (checked by a count).
+CHECKPOINT_EVERY, SMALL_MERGE = 10, 500_000
 
 
 class CommitConflict(RuntimeError):
@@ -56,34 +62,43 @@ class VersionedTable:
         """The newest version, 0 for a table without commits."""
         return max(self.versions(), default=0)
 
-    def manifest(self, version: int) -> dict:
-        """One commit's manifest."""
-        stream = self._fs.open(self._path(self._manifest_path(version)))
+    def _json(self, path: str) -> dict:
+        stream = self._fs.open(self._path(path))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def manifest(self, version: int) -> dict:
+        """One commit's manifest."""
+        return self._json(self._manifest_path(version))
+
     def _manifest_path(self, version: int) -> str:
         return f"{self.root}/manifests/{version:012d}.json"
 
+    def _upto(self, version: int) -> dict:
+        """Live files, vector files and merged properties at ``version``, from the last checkpoint before it on."""
+        marks = [int(f.rsplit("/", 1)[1].split(".")[0]) for f in self._files(f"{self.root}/checkpoints", ".json")]
+        start = max((m for m in marks if m <= version), default=0)
+        state = self._json(f"{self.root}/checkpoints/{start:012d}.json") if start else {"live": [], "vectors": [], "properties": {}}
+        live, vectors, properties = set(state["live"]), list(state["vectors"]), dict(state["properties"])
+        for v in self.versions():
+            if start < v <= version:
+                m = self.manifest(v)
+                live = (live - set(m["removed"])) | set(m["added"])
+                vectors += m["vectors"]
+                properties.update(m["properties"])
+        # vectors of files that are gone delete nothing any more
+        return {"live": sorted(live), "vectors": vectors if live else [], "properties": properties}
+
     def properties(self) -> dict:
         """Properties of all commits, later ones over earlier ones."""
-        merged: dict = {}
-        for v in self.versions():
-            merged.update(self.manifest(v)["properties"])
-        return merged
+        return self._upto(self.latest())["properties"]
 
     def state(self, version: int) -> tuple[set[str], list[str]]:
         """Live files and all vector files at ``version``."""
-        live: set[str] = set()
-        vectors: list[str] = []
-        for v in self.versions():
-            if v <= version:
-                m = self.manifest(v)
-                live = (live - set(m["removed"])) | set(m["added"])
-                vectors += m["vectors"]
-        return live, vectors
+        at = self._upto(version)
+        return set(at["live"]), at["vectors"]
 
     def _commit(self, version: int, added: list[str], removed: list[str], vectors: list[str], properties: dict) -> int:
         body = {"version": version, "added": added, "removed": removed, "vectors": vectors, "properties": properties}
@@ -101,6 +116,10 @@ class VersionedTable:
         except Exception as e:
             self._fs.delete(temp, False)
             raise CommitConflict(f"version {version} exists") from e
+        if version % CHECKPOINT_EVERY == 0:  # only a shortcut: readers do without one that is missing
+            done = self._fs.create(self._path(f"{self.root}/checkpoints/{version:012d}.json"), True)
+            done.write(bytearray(json.dumps(self._upto(version)), "utf-8"))
+            done.close()
         return version
 
     # -- writing
@@ -117,22 +136,27 @@ class VersionedTable:
         rows.select(*self.schema.names).write.option("compression", "zstd").parquet(folder)
         return self._commit(self.latest() + 1, self._files(folder, ".parquet"), removed, [], properties or {})
 
-    def merge(self, incoming: DataFrame, key: str, *, unchanged: Callable[[str, str], Column], present: Column, properties: dict | None = None) -> int:
+    def merge(self, incoming: DataFrame, key: str, *, unchanged: Callable[[str, str], Column], present: Column, combine: Callable[[str, str], dict[str, Column]] | None = None, properties: dict | None = None) -> int:
         """Commit the state of ``incoming`` (one row per key) over the current version.
 
         ``unchanged(old, new)`` is a condition over the aliases of the present and the incoming record that keeps the
-        old record; ``present`` a condition over ``incoming`` that is false for deleted keys. Superseded and deleted
+        old record; ``present`` a condition over ``incoming`` that is false for deleted keys; ``combine(old, new)`` gives the
+        fields of the record to store, by default those of the incoming one. Superseded and deleted
         records go into the commit's deletion vector, new and changed ones into new files; both are written by one
-        job. Keys that ``incoming`` lacks stay as they are. Null keys are ignored.
+        job. Keys that ``incoming`` lacks stay as they are: of the old records only the keys are looked at. Null keys are ignored.
         """
         base = self.latest()
-        old = self.snapshot(base, positions=True).alias("old")
-        new = incoming.where(F.col(key).isNotNull()).withColumn("_lw_present", F.coalesce(present, F.lit(False))).alias("new")
-        joined = old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer")
+        new = incoming.where(F.col(key).isNotNull()).withColumn("_lw_present", F.coalesce(present, F.lit(False)))
+        held = self.snapshot(base, positions=True)
+        if base:
+            held = held.join(broadcast_if_small(new.select(key), SMALL_MERGE), key, "left_semi")
+        old, new = held.alias("old"), new.alias("new")
+        joined = new.join(old, F.col(f"old.{key}") == F.col(f"new.{key}"), "left")
+        wanted = combine("old", "new") if combine else {}
         has_old, has_new = F.col(f"old.{FILE}").isNotNull(), F.col(f"new.{key}").isNotNull()
         alive = has_new & F.col("new._lw_present")
         keep = has_old & has_new & alive & F.coalesce(unchanged("old", "new"), F.lit(False))
-        fields = [F.when(alive & ~keep, F.col(f"new.{c}")).alias(c) for c in self.schema.names]
+        fields = [F.when(alive & ~keep, wanted[c] if c in wanted else F.col(f"new.{c}")).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]
         null_fields = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
         added = F.struct(F.lit("data").alias("kind"), *fields, F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("position"))
         gone = F.struct(F.lit("vector").alias("kind"), *null_fields, F.col(f"old.{FILE}").alias("file"), F.col(f"old.{POSITION}").alias("position"))
@@ -148,13 +172,14 @@ class VersionedTable:
             empty = self.spark.createDataFrame([], schema)
             return empty.withColumns({FILE: F.lit(None).cast("string"), POSITION: F.lit(None).cast("bigint")}) if positions else empty
         df = self.spark.read.schema(schema).parquet(*files)
-        return df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(POSITION)) if positions else df
+        # names of data files carry the id of their write job, so the name alone tells the file
+        return df.select("*", F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(POSITION)) if positions else df
 
     def _without(self, rows: DataFrame, vectors: list[str]) -> DataFrame:
         if not vectors:
             return rows
         gone = self._read(vectors, VECTOR_SCHEMA)
-        return rows.join(gone, (F.regexp_replace(rows[FILE], "^file:/+", "/") == F.regexp_replace(gone["file"], "^file:/+", "/")) & (rows[POSITION] == gone["position"]), "left_anti")
+        return rows.join(gone, (rows[FILE] == gone["file"]) & (rows[POSITION] == gone["position"]), "left_anti")
 
     def snapshot(self, version: int | None = None, positions: bool = False) -> DataFrame:
         """All records of a version."""
@@ -181,7 +206,7 @@ class VersionedTable:
         if fresh:
             gone = self._read(fresh, VECTOR_SCHEMA)
             kept = self._read(sorted(live_a & live_b), self.schema, positions=True)
-            hit = kept.join(gone, (F.regexp_replace(kept[FILE], "^file:/+", "/") == F.regexp_replace(gone["file"], "^file:/+", "/")) & (kept[POSITION] == gone["position"]), "left_semi")
+            hit = kept.join(gone, (kept[FILE] == gone["file"]) & (kept[POSITION] == gone["position"]), "left_semi")
             out.append(hit.select(*self.schema.names, F.lit("removed").alias("change")))
         result = out[0]
         for df in out[1:]:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweir.operators.pending import pending_documents
+from lodeweir.operators.pending import PendingState, incremental_pending, pending_documents
 from lodeweir.session import fresh_path
 from lodeweir.sources.versioned import CommitConflict, VersionedTable, process_changes
 
@@ -103,3 +103,44 @@ def test_pending_of_empty_tables(spark):
     assert pending_documents(*empty).count() == 0
     one = spark.createDataFrame([(1, 1, "a", False, True, at(1), "", "")], ROWS)
     assert rows(pending_documents(one, *empty[1:]), "doc_id") == [(1,)]
+
+
+def test_updates_read_added_files_and_survive_failures(spark, tmp_path, monkeypatch):
+    def add(name, data, schema):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t/{name}.parquet")
+
+    def run():
+        return incremental_pending(spark, f"{tmp_path}/t", f"file://{tmp_path}/state")
+
+    add("document_rows", [(1, 1, "a", False, True, at(1), "", ""), (2, 2, "b", False, True, at(1), "", "")], ROWS)
+    add("update_runs", [(1, "running", None)], RUNS)
+    add("update_items", [(1, 1, 1, "a", "done", at(2), True)], ITEMS)
+    assert rows(run().pending(), "doc_id") == [(1,), (2,)]
+    assert run().state.latest() == 1  # nothing added, nothing done
+    add("update_runs", [(1, "succeeded", None)], RUNS)  # the waiting item becomes durable
+    state = run()
+    assert rows(state.pending(), "doc_id") == [(2,)] and state.state.properties()["touched"] == 1
+    add("document_rows", [(3, 1, "c", False, True, at(5), "", ""), (4, 3, "d", False, True, at(5), "", "")], ROWS)
+
+    def fails(self, *a, **k):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "merge", fails)
+        with pytest.raises(OSError):
+            run()
+    assert rows(PendingState(spark, f"file://{tmp_path}/state/0").pending(), "doc_id") == [(2,)]
+    state = run()
+    assert rows(state.pending(), "doc_id") == [(1,), (2,), (3,)] and state.state.properties()["touched"] == 2
+    removed = rows(state.state.changes(2).where("change = 'removed'"), "doc_id")
+    assert removed == [(1,)]
+    next(p for p in (tmp_path / "t/document_rows.parquet").iterdir() if p.name.startswith("part")).unlink()
+    assert len(rows(run().pending(), "doc_id")) in (1, 2)  # a file is gone: the state is begun anew
+
+
+def test_checkpoints(spark):
+    t = table(spark)
+    for k in range(12):
+        t.append(spark.createDataFrame([(k, "v")], "k bigint, v string").coalesce(1), {"n": k})
+    assert t._files(f"{t.root}/checkpoints", ".json") and t.properties()["n"] == 11
+    assert rows(t.snapshot(), "k") == [(k,) for k in range(12)] and rows(t.changes(9), "k") == [(9,), (10,), (11,)]
