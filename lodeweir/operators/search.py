@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweir.functions.text import analyzed_terms, contextual_text, distance_score, query_terms, retrieval_body
@@ -16,24 +19,35 @@ BOOSTS = {"title": 2.0, "heading": 1.5, "body": 1.0, "filepath": 0.5}
 RRF_K, LINEAR_WEIGHTS, DBSF_WEIGHTS, DBSF_SIGMAS = 60, (0.7, 0.3), (1.0, 0.4), 3.0
 NEAR_DUPLICATE_VARIANT, MIN_CANDIDATES, RERANK_MIN, RERANK_MAX = 0.98, 40, 20, 30
 TINY = 1.1920929e-7
-#: Query terms and vectors are broadcast up to so many rows (checked by a count).
-SMALL_QUERIES = 200_000
+#: Query terms are broadcast up to so many rows (checked by a count); query vectors of one pass over all vectors.
+SMALL_QUERIES, QUERY_BLOCK = 200_000, 10_000
+#: Similarities in memory at once.
+_PRODUCTS = 4_000_000
 
 
 def with_fields(index_chunks: DataFrame, contextual: bool = True) -> DataFrame:
     """Index rows with the four searched fields; the body carries the retrieval prefix and, if asked, context lines."""
     title, heading = F.coalesce("doc_title", F.lit("")), F.coalesce("heading", F.lit(""))
     body = contextual_text(retrieval_body("retrieval_prefix", "text"), title, heading, contextual)
-    return index_chunks.select("space_name", "collection_id", "doc_id", "chunk_id", "active", F.coalesce("filepath", F.lit("")).alias("filepath"), title.alias("title"), heading.alias("heading"), body.alias("body"))
+    named = "collection_name" if "collection_name" in index_chunks.columns else F.lit(None).cast("string").alias("collection_name")
+    return index_chunks.select("space_name", "collection_id", named, "doc_id", "chunk_id", "active", F.coalesce("filepath", F.lit("")).alias("filepath"), title.alias("title"), heading.alias("heading"), body.alias("body"))
+
+
+_FACTS = ("space_name", "collection_name", "doc_id", "chunk_id", "active")
 
 
 @dataclass
 class TextIndex:
-    """Inverted index: postings, lengths and statistics per space and field. ``write`` makes it a partitioned table."""
+    """Inverted index: postings, lengths and statistics per space and field, and the scored postings that searches read.
+
+    ``scored`` has a row per space, term and chunk with the weight of the term in each field before boosts, and what
+    scopes ask for (collection, active), so that a search is one join with its terms.
+    """
 
     lengths: DataFrame
     postings: DataFrame
     stats: DataFrame
+    scored: DataFrame
 
     @classmethod
     def build(cls, entries: DataFrame) -> TextIndex:
@@ -41,23 +55,55 @@ class TextIndex:
 
         Texts are analysed once: the terms are written to the shared folder, and lengths, postings and statistics read them.
         """
-        fields = F.array(*[F.struct(F.lit(f).alias("field"), analyzed_terms(f).alias("terms")) for f in BOOSTS])
-        each = materialize(entries.select("space_name", "chunk_id", F.explode(fields).alias("x")).select("space_name", "chunk_id", "x.field", "x.terms"), "terms")
-        lengths = each.select("space_name", "field", "chunk_id", F.size("terms").cast("bigint").alias("len"))
-        postings = each.select("space_name", "field", "chunk_id", F.size("terms").cast("bigint").alias("len"), F.explode("terms").alias("term")).groupBy("space_name", "field", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+        return cls.of_terms(materialize(analyzed_entries(entries), "terms"))
+
+    @classmethod
+    def of_terms(cls, each: DataFrame) -> TextIndex:
+        """Index of analysed entries."""
+        size = F.size("terms").cast("bigint").alias("len")
+        lengths = each.select(*_FACTS, "field", size)
+        postings = each.select(*_FACTS, "field", size, F.explode("terms").alias("term")).groupBy(*_FACTS, "field", "len", "term").agg(F.count("*").alias("tf"))
+        return cls.of_postings(lengths, postings)
+
+    @classmethod
+    def of_postings(cls, lengths: DataFrame, postings: DataFrame) -> TextIndex:
+        """Index with statistics and weights of the given postings."""
         stats = lengths.groupBy("space_name", "field").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
-        return cls(lengths, postings, stats)
+        df = postings.groupBy("space_name", "field", "term").agg(F.count("*").alias("df"))
+        norm = F.col("tf") + K1 * (1.0 - B + B * F.col("len") / F.col("avg_len"))
+        w = idf(F.col("n_chunks"), F.col("df")) * F.col("tf") * (K1 + 1.0) / norm
+        each = postings.join(df, ["space_name", "field", "term"]).join(broadcast_if_small(stats, SMALL_QUERIES), ["space_name", "field"]).withColumn("w", w)
+        scored = each.groupBy("term", *_FACTS).agg(*[F.sum(F.when(F.col("field") == f, F.col("w")).otherwise(0.0)).alias(f"w_{f}") for f in BOOSTS])
+        return cls(lengths, postings, stats, scored)
 
     def write(self, path: str) -> None:
-        """Postings partitioned by space and clustered by term, so that a query reads few row groups."""
-        self.postings.repartition("space_name", "term").sortWithinPartitions("space_name", "term").write.partitionBy("space_name").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/postings")
+        """Lay the index down as tables. Scored postings are split by ranges of terms and chunks, so that a common term is no
+        single task and a file has few terms; statistics are written last and tell that the index is whole."""
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        spark = self.postings.sparkSession
+        TextIndex.of_postings(spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/postings")).scored.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/scored")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> TextIndex | None:
+        """The index at ``path``, None where there is no whole one."""
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return None
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("lengths", "postings", "stats", "scored")])
+
     def without(self, keys: DataFrame, on: str = "chunk_id") -> TextIndex:
-        """The index after deleting chunks."""
+        """The index after deleting chunks (chunk_id) or documents (doc_id)."""
         k = keys.select(on).distinct()
-        lengths, postings = self.lengths.join(k, on, "left_anti"), self.postings.join(k, on, "left_anti")
-        return TextIndex(lengths, postings, lengths.groupBy("space_name", "field").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len")))
+        return TextIndex.of_postings(self.lengths.join(k, on, "left_anti"), self.postings.join(k, on, "left_anti"))
+
+
+def analyzed_entries(entries: DataFrame) -> DataFrame:
+    """Entries as one row per field with its terms."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), analyzed_terms(f).alias("terms")) for f in BOOSTS])
+    facts = [F.col(c) if c in entries.columns else F.lit(None).cast("string").alias(c) for c in _FACTS]
+    return entries.select(*facts, F.explode(fields).alias("x")).select(*_FACTS, "x.field", "x.terms")
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -71,25 +117,36 @@ def term_statistics(index: TextIndex) -> DataFrame:
     return df.join(index.stats, ["space_name", "field"]).select("space_name", "field", "term", "df", idf(F.col("n_chunks"), F.col("df")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, index: TextIndex, scope: DataFrame | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
+def in_scope(space: str = "q_space", collections: str = "q_collections") -> Column:
+    """Whether an index row (space_name, collection_name, active) lies in a query's optional space and collections."""
+    no_space, no_collection = F.col(space).isNull(), F.coalesce(F.size(collections), F.lit(0)) <= 0
+    return F.col("active") & (no_space | (F.col(space) == F.col("space_name"))) & (no_collection | F.array_contains(collections, F.col("collection_name")))
+
+
+def _asked(queries: DataFrame) -> list[Column]:
+    return [(F.col(c) if c in queries.columns else F.lit(None)).cast(t).alias(n) for c, t, n in (("space_name", "string", "q_space"), ("collections", "array<string>", "q_collections"))]
+
+
+def bm25_scores(queries: DataFrame, index: TextIndex, scope: DataFrame | None = None, boosts: dict[str, float] | None = None, scoped: bool = False) -> DataFrame:
     """(qid, space_name, chunk_id, score): sum of boosted BM25 over (field, distinct query term), literal OR semantics.
 
-    Document frequencies and lengths are those of whole spaces: ``scope`` (qid, chunk_id) restricts results and
-    never changes a score. Queries without terms have no results.
+    Document frequencies and lengths are those of whole spaces: neither ``scope`` (qid, chunk_id) nor ``scoped``, which holds
+    each query to active chunks of its own space_name and collections, changes a score. Such scopes are tested as columns
+    of the postings; no pairs of queries and chunks are made. Queries without terms have no results.
     """
     boosts = boosts or BOOSTS
     unknown = set(boosts) - set(BOOSTS)
     if unknown:
         raise ValueError(f"unknown fields: {sorted(unknown)}")
-    terms = queries.select("qid", F.explode(query_terms("text")).alias("term"))
-    needed = broadcast_if_small(terms.select("term").distinct(), SMALL_QUERIES)
-    hits = index.postings.where(F.col("field").isin(list(boosts))).join(needed, "term", "left_semi")
-    df = hits.groupBy("space_name", "field", "term").agg(F.count("*").alias("df"))
-    boost = F.element_at(F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair]), F.col("field"))
-    norm = F.col("tf") + K1 * (1.0 - B + B * F.col("len") / F.col("avg_len"))
-    weighted = hits.join(df, ["space_name", "field", "term"]).join(broadcast_if_small(index.stats, SMALL_QUERIES), ["space_name", "field"])
-    weighted = weighted.select("space_name", "chunk_id", "term", (boost * idf(F.col("n_chunks"), F.col("df")) * F.col("tf") * (K1 + 1.0) / norm).alias("w"))
-    scores = weighted.join(broadcast_if_small(terms, SMALL_QUERIES), "term").groupBy("qid", "space_name", "chunk_id").agg(F.sum("w").alias("score"))
+    terms = broadcast_if_small(queries.select("qid", F.explode(query_terms("text")).alias("term"), *(_asked(queries) if scoped else [])), SMALL_QUERIES)
+    hits = index.scored.join(terms, "term")
+    if scoped:
+        hits = hits.where(in_scope())
+    weight = sum((F.lit(float(b)) * F.col(f"w_{f}") for f, b in boosts.items()), F.lit(0.0))
+    touched = F.lit(False)
+    for f in boosts:
+        touched = touched | (F.col(f"w_{f}") > 0)
+    scores = hits.where(touched).groupBy("qid", "space_name", "chunk_id").agg(F.sum(weight).alias("score"))
     return scores if scope is None else scores.join(scope, ["qid", "chunk_id"], "left_semi")
 
 
@@ -106,34 +163,84 @@ def keyword_results(scores: DataFrame, limit: int, min_score: float = 0.0) -> Da
     return out.where(F.col("score") >= min_score).select("qid", "rank", "chunk_id", "space_name", "raw", "score")
 
 
-def unit(vector: str) -> Column:
-    """A vector of doubles divided by its norm; a zero vector stays zero, so that all its similarities are 0."""
-    v = F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
-
-
-def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, chunk_id, similarity): cosine of each of a stated set of query vectors to all vectors; 0 for other dimensions.
-
-    Norms are taken once per vector; the query side is broadcast in a checked size, larger ones are joined in blocks.
+def _matrix(vectors: pd.Series, dimensions: int | None) -> np.ndarray:
+    """Unit vectors as rows; null entries are 0 and zero vectors stay zero. Another dimension is an error."""
+    sizes = set(vectors.map(len))
+    if len(sizes | ({dimensions} if dimensions is not None else set())) > 1:
+        raise ValueError(f"vectors have dimensions {sorted(sizes)}, queries {dimensions}")
+    m = np.nan_to_num(np.array([np.asarray(v, dtype="float64") for v in vectors]))
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norm > 0, norm, 1.0)
+
+
+def _best(similarity: np.ndarray, ids: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``limit`` by similarity (ties within 1e-9 by id) of one query."""
+    rounded = np.round(similarity, 9)
+    if len(ids) > limit:
+        kept = np.flatnonzero(rounded >= np.partition(rounded, len(ids) - limit)[len(ids) - limit])
+        similarity, rounded, ids = similarity[kept], rounded[kept], ids[kept]
+    order = np.lexsort((ids, -rounded))[:limit]
+    return similarity[order], ids[order]
+
+
+def _products(qids: np.ndarray, q: np.ndarray, spaces: list, collections: list, limit: int, scoped: bool):
+    """Best neighbours of all queries within a task, by blocked matrix products."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, "int64")) for _ in qids]
+        step = max(1, _PRODUCTS // max(1, len(qids)))
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                ids, product = part["chunk_id"].to_numpy(), q @ _matrix(part["vector"], q.shape[1]).T
+                allowed = None
+                if scoped:
+                    homes: dict[tuple[str, str], int] = {}
+                    home = [homes.setdefault(h, len(homes)) for h in zip(part["space_name"], part["collection_name"], strict=True)]
+                    fits = np.array([[(s is None or s == a) and (not c or b in c) for a, b in homes] for s, c in zip(spaces, collections, strict=True)])
+                    allowed = fits[:, home] & part["active"].to_numpy().astype(bool)
+                for k in range(len(qids)):
+                    sims, own = (product[k], ids) if allowed is None else (product[k][allowed[k]], ids[allowed[k]])
+                    if len(best[k][0]) == limit:
+                        more = sims >= best[k][0][-1] - 1e-9
+                        sims, own = sims[more], own[more]
+                    if len(own):
+                        best[k] = _best(np.r_[best[k][0], sims], np.r_[best[k][1], own], limit)
+        for k in range(0, len(qids), 1000):
+            rows = best[k : k + 1000]
+            yield pd.DataFrame({"qid": np.repeat(qids[k : k + 1000], [len(r[1]) for r in rows]), "chunk_id": np.concatenate([r[1] for r in rows]).astype("int64"), "similarity": np.concatenate([r[0] for r in rows])})
+
+    return run
+
+
+def knn_results(queries: DataFrame, vectors: DataFrame, limit: int, allowed: DataFrame | None = None, scoped: bool = False) -> DataFrame:
+    """(qid, rank, chunk_id, similarity, score): exact nearest neighbours of query vectors (qid, vector) among (chunk_id, vector).
+
+    Cosine similarity, 0 for zero vectors; vectors of another dimension are an error. Ties within 1e-9 go to the lower
+    chunk_id. ``allowed`` (chunk_id) filters before the top k; ``scoped`` holds each query to active vectors of its own
+    space_name and collections, which are columns of both sides. The stated set of queries is sent in blocks of
+    QUERY_BLOCK, one pass over the vectors each; a task keeps the best of its vectors and only these are shuffled.
     """
-    q = queries.select("qid", unit("vector").alias("_q"))
-    pairs = vectors.select("chunk_id", unit("vector").alias("_v")).crossJoin(broadcast_if_small(q, SMALL_QUERIES))
-    dot = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return pairs.select("qid", "chunk_id", F.when(F.size("_q") == F.size("_v"), dot).otherwise(F.lit(0.0)).alias("similarity"))
-
-
-def nearest(pairs: DataFrame, limit: int) -> DataFrame:
-    """(qid, rank, chunk_id, similarity, score): the first ``limit`` of each query; ties within 1e-9 go to the lower chunk_id."""
-    best = top_k(pairs, limit, ["qid"], [F.desc(F.round("similarity", 9)), F.asc("chunk_id")])
-    return best.select("qid", "rank", "chunk_id", "similarity", distance_score(1.0 - F.col("similarity")).alias("score"))
-
-
-def knn_results(queries: DataFrame, vectors: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
-    """Exact nearest neighbours of query vectors (qid, vector) among (chunk_id, vector); ``allowed`` (chunk_id) filters before the top k."""
     pool = vectors if allowed is None else vectors.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return nearest(similarities(queries, pool), limit)
+    asked = queries.select("qid", "vector", *_asked(queries)).where("vector is not null")
+    n = asked.count()
+    blocks = -(-n // QUERY_BLOCK)
+    share, found = queries.sparkSession.sparkContext.broadcast, None
+    for k in range(max(1, blocks)):
+        rows = (asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else asked).orderBy("qid").toPandas()
+        if not len(rows):
+            continue
+        held = share((rows["qid"].to_numpy(), _matrix(rows["vector"], None), [x or None for x in rows["q_space"]], [None if x is None or not len(x) else set(x) for x in rows["q_collections"]]))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            return _products(*held.value, limit, scoped)(batches)
+
+        part = pool.where("vector is not null").select("chunk_id", "vector", *(("space_name", "collection_name", "active") if scoped else ())).mapInPandas(run, "qid bigint, chunk_id bigint, similarity double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], "qid bigint, chunk_id bigint, similarity double")
+    best = top_k(found, limit, ["qid"], [F.desc(F.round("similarity", 9)), F.asc("chunk_id")])
+    return best.select("qid", "rank", "chunk_id", "similarity", distance_score(1.0 - F.col("similarity")).alias("score"))
 
 
 def branch_lists(candidates: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -88,6 +88,8 @@ class Engine:
 
     def __post_init__(self) -> None:
         self.index = self.index or S.TextIndex.build(S.with_fields(self.entries))
+        if self.vectors is not None and "collection_name" not in self.vectors.columns:
+            self.vectors = self.vectors.join(self.entries.select("chunk_id", "space_name", "collection_name", "active"), "chunk_id")
 
     def _embedded(self, queries: DataFrame) -> DataFrame:
         if "vector" in queries.columns:
@@ -96,22 +98,13 @@ class Engine:
         as_vector = F.pandas_udf(lambda s: embed(s), "array<double>")
         return queries.select("qid", as_vector("text").alias("vector"))
 
-    def scope(self, queries: DataFrame) -> DataFrame:
-        """(qid, chunk_id) of the active chunks in each query's optional ``space_name`` and ``collections``."""
-        q = queries.select("qid", *[F.col(c) if c in queries.columns else F.lit(None).cast(t).alias(c) for c, t in (("space_name", "string"), ("collections", "array<string>"))])
-        live = self.entries.where("active").select("chunk_id", F.col("space_name").alias("s"), "collection_name")
-        fits = (F.col("space_name").isNull() | (F.col("space_name") == F.col("s"))) & (F.coalesce(F.size("collections"), F.lit(0)) <= 0) | F.array_contains("collections", F.col("collection_name")) & (F.col("space_name").isNull() | (F.col("space_name") == F.col("s")))
-        homes = live.select("s", "collection_name").distinct()
-        return q.join(homes, fits).select("qid", "s", "collection_name").join(live, ["s", "collection_name"]).select("qid", "chunk_id")
-
     def _lists(self, queries: DataFrame, opt: SearchOptions) -> tuple[DataFrame, DataFrame | None]:
-        k, scope = opt.candidates(), self.scope(queries)
-        keyword = S.keyword_results(S.bm25_scores(queries, self.index, scope, opt.boosts), k).select("qid", "chunk_id", F.col("raw").alias("score"), "rank")
+        k = opt.candidates()
+        keyword = S.keyword_results(S.bm25_scores(queries, self.index, boosts=opt.boosts, scoped=True), k).select("qid", "chunk_id", F.col("raw").alias("score"), "rank")
         if opt.mode == "keyword" or self.vectors is None or (self.models.embed is None and "vector" not in queries.columns):
             return keyword, None
-        pairs = S.similarities(self._embedded(queries), self.vectors).join(scope, ["qid", "chunk_id"], "left_semi")
-        dense = S.nearest(pairs, k).select("qid", "chunk_id", "score", "rank")
-        return keyword, dense
+        asked = self._embedded(queries).join(queries.select("qid", *[c for c in ("space_name", "collections") if c in queries.columns]), "qid")
+        return keyword, S.knn_results(asked, self.vectors, k, scoped=True).select("qid", "chunk_id", "score", "rank")
 
     def ranked(self, queries: DataFrame, opt: SearchOptions) -> DataFrame:
         """(qid, rank, chunk_id, score, bm25, dense, original_rank) before reranking."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodeweir.functions import text as T
 from lodeweir.operators import catalog as C
 from lodeweir.operators import search as S
-from lodeweir.session import broadcast_if_small, table
+from lodeweir.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,31 +75,23 @@ def _index_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "eval_cases").where("case_id is not null").dropDuplicates(["case_id"]).select(F.col("case_id").alias("qid"), F.col("query_text").alias("text"), "space_name", "collection_names")
+    return table(spark, d, "eval_cases").where("case_id is not null").dropDuplicates(["case_id"]).select(F.col("case_id").alias("qid"), F.col("query_text").alias("text"), "space_name", F.col("collection_names").alias("collections"))
 
 
 def _index(spark: SparkSession, d: str) -> S.TextIndex:
-    return S.TextIndex.build(S.with_fields(_index_chunks(spark, d)))
+    from lodeweir.plans.demo_models import demo_index
 
+    return demo_index(spark, d)[1]
 
-def _scores(spark: SparkSession, d: str, scope: DataFrame | None = None) -> DataFrame:
-    return S.bm25_scores(_queries(spark, d), _index(spark, d), scope).withColumn("score", F.round("score", 9))
+
+def _scores(spark: SparkSession, d: str, scoped: bool = False) -> DataFrame:
+    return S.bm25_scores(_queries(spark, d), _index(spark, d), scoped=scoped).withColumn("score", F.round("score", 9))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def _scope(spark: SparkSession, d: str) -> DataFrame:
-    q = _queries(spark, d)
-    rows = _index_chunks(spark, d).where("active").select("chunk_id", F.col("space_name").alias("s"), "collection_name")
-    fits = (F.col("space_name").isNull() | (F.col("space_name") == F.col("s"))) & ((F.size("collection_names") == 0) | F.array_contains("collection_names", F.col("collection_name")))
-    # few rows of scopes meet the few collections first, then the chunks of these by an equi join
-    homes = rows.select("s", "collection_name").distinct()
-    stated = broadcast_if_small(q.select("qid", "space_name", F.coalesce("collection_names", F.array().cast("array<string>")).alias("collection_names")), S.SMALL_QUERIES)
-    return homes.join(stated, fits).select("qid", "s", "collection_name").join(rows, ["s", "collection_name"]).select("qid", "chunk_id")
-
-
 # -- catalogue
 
 
@@ -293,13 +285,13 @@ scoped AS (SELECT s.* FROM scores s JOIN scope USING (qid, chunk_id))"""
 @query("WITH " + _FIELDS + _SCOPED + ", " + _top("scoped"))
 def bm25_scoped_filter(spark, d):
     """Keyword search within each query's scope; statistics stay those of the spaces."""
-    return _rounded(S.keyword_results(_scores(spark, d, _scope(spark, d)), 10), "raw", "score")
+    return _rounded(S.keyword_results(_scores(spark, d, scoped=True), 10), "raw", "score")
 
 
 @query("WITH " + _FIELDS + _SCOPED + " SELECT count(*) AS pairs, 0::BIGINT AS changed FROM scoped")
 def bm25_filter_invariance(spark, d):
     """Scoped scores that differ from the unscoped ones: none."""
-    free, held = _scores(spark, d), _scores(spark, d, _scope(spark, d)).withColumnRenamed("score", "scoped")
+    free, held = _scores(spark, d), _scores(spark, d, scoped=True).withColumnRenamed("score", "scoped")
     return held.join(free, ["qid", "space_name", "chunk_id"], "left").agg(F.count("*").alias("pairs"), F.count_if(~F.col("score").eqNullSafe(F.col("scoped"))).alias("changed"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,15 +81,42 @@ def test_bm25_grows_with_frequency_and_ignores_scope(spark):
     assert held == {k: v for k, v in free.items() if k in ((1, 1), (1, 2))}
     with pytest.raises(ValueError):
         S.bm25_scores(q, index, boosts={"nope": 1.0})
+    q2 = q.withColumn("space_name", F.when(F.col("qid") == 1, "s").otherwise("t")).withColumn("collections", F.array().cast("array<string>"))
+    inside = {(r.qid, r.chunk_id): r.score for r in S.bm25_scores(q2, index, scoped=True).collect()}
+    assert inside == {k: v for k, v in free.items() if k[0] == 1}
+    assert {r.chunk_id for r in S.bm25_scores(q, index.without(spark.createDataFrame([(1,)], "doc_id bigint"), "doc_id")).collect()} == {2, 3, 4}
     assert {r.chunk_id for r in S.bm25_scores(q, index.without(spark.createDataFrame([(1,)], "chunk_id bigint"))).collect()} == {2, 3, 4}
 
 
 def test_knn(spark):
-    v = spark.createDataFrame([(11, [1.0, 0.0]), (22, [0.0, 1.0]), (33, [0.0, 0.0]), (44, [1.0])], "chunk_id bigint, vector array<double>")
+    v = spark.createDataFrame([(11, [1.0, 0.0]), (22, [0.0, 1.0]), (33, [0.0, 0.0]), (44, [0.0, None]), (55, None)], "chunk_id bigint, vector array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "qid bigint, vector array<double>")
     rows = S.knn_results(q, v, 4).orderBy("rank").collect()
     assert rows[0].chunk_id == 11 and rows[0].score == 1.0 and [r.similarity for r in rows[1:]] == [0.0, 0.0, 0.0]
     assert order(S.knn_results(q, v, 4, v.where("chunk_id = 22"))) == [22]
+    assert order(S.knn_results(q, v.where("false"), 4)) == order(S.knn_results(q.where("false"), v, 4)) == []
+    with pytest.raises(Exception, match="dimensions"):
+        S.knn_results(q, spark.createDataFrame([(1, [1.0])], "chunk_id bigint, vector array<double>"), 4).collect()
+
+
+def test_knn_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 5).astype(float).tolist(), f"s{i % 3}", f"c{i % 2}", i % 7 > 0) for i in range(200)]
+    asked = [(i, rng.integers(-2, 3, 5).astype(float).tolist(), [None, "s1"][i % 2], [None, [], ["c0"], ["c0", "c1"]][i % 4]) for i in range(30)]
+    v = spark.createDataFrame(rows, "chunk_id bigint, vector array<double>, space_name string, collection_name string, active boolean").repartition(3)
+    q = spark.createDataFrame(asked, "qid bigint, vector array<double>, space_name string, collections array<string>")
+
+    def cos(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 9) if n else 0.0
+
+    want = {i: [r[0] for r in sorted((r for r in rows if r[4] and s in (None, r[2]) and (not c or r[3] in c)), key=lambda r: (-cos(x, r[1]), r[0]))[:8]] for i, x, s, c in asked}
+    for block in (10_000, 7):
+        monkeypatch.setattr(S, "QUERY_BLOCK", block)
+        got = {}
+        for r in S.knn_results(q, v, 8, scoped=True).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.chunk_id)
+        assert got == want
 
 
 def test_evaluation(spark):
