@@ -7,6 +7,7 @@ batches; each is a plain function of one text, registered by extension.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -20,7 +21,8 @@ EXTENSIONS = {
     "txt": "txt text log",
     "md": "md markdown mdown mkd",
     "html": "html htm",
-    "code": "rs py js ts tsx jsx go java c h cpp hpp cs rb sh sql toml yaml",
+    "pdf": "pdf",
+    "code": "rs py js ts tsx jsx go java kt c cpp cc h hpp cs rb php swift",
 }
 BLOCK = "struct<kind:string,text:string,offset:bigint,length:bigint,heading_path:array<string>,attrs:map<string,string>>"
 
@@ -78,12 +80,51 @@ def pdf_paragraphs(text: str) -> tuple[str | None, list[dict]]:
     return None, out
 
 
+_OBJECT = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
+_SHOW = re.compile(rb"(\((?:\\.|[^()\\])*\)|<[0-9A-Fa-f\s]*>|\[(?:\((?:\\.|[^()\\])*\)|[^\]])*\])\s*(TJ|Tj|'|\")|(T\*|\bT[dD]\b|\bTm\b|\bET\b)", re.DOTALL)
+_PART = re.compile(rb"\((?:\\.|[^()\\])*\)|<[0-9A-Fa-f\s]*>|-?\d+(?:\.\d+)?", re.DOTALL)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(raw: bytes) -> str:
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        data = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.DOTALL)
+    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+
+
+def pdf_text(content: bytes) -> str:
+    """Text that the content streams of a PDF show, in their order: plain and deflated streams with single-byte encodings."""
+    pages = []
+    for head, body in _OBJECT.findall(content):
+        if b"/FlateDecode" in head:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        if b"BT" not in body:
+            continue
+        out: list[str] = []
+        for shown, how, move in _SHOW.findall(body):
+            if move or how in (b"'", b'"'):
+                out.append("\n")
+            for part in _PART.findall(shown):
+                if part[:1] in b"(<":
+                    out.append(_pdf_string(part))
+                elif float(part) < -200:  # a wide step back between shown parts is a space
+                    out.append(" ")
+        pages.append(re.sub(r"\n{3,}", "\n\n", "".join(out)).strip("\n"))
+    return "\n\n".join(p for p in pages if p.strip())
+
+
 def pdf_blocks(content: bytes) -> tuple[str | None, list[dict]]:
-    """Paragraphs of a PDF; needs the optional package pypdf."""
+    """Paragraphs of a PDF; with the optional package pypdf also of those with other encodings. No text is an error."""
     try:
         from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("reading PDF files needs pypdf") from e
+    except ImportError:
+        return pdf_paragraphs(pdf_text(content))
     import io
 
     return pdf_paragraphs("\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages))
@@ -188,8 +229,8 @@ def markdown_blocks(text: str) -> tuple[str | None, list[dict]]:
 
 #: Elements left out, and elements that only hold others.
 _SKIPPED = frozenset("head script style template noscript svg canvas math".split())
-_HOLDERS = frozenset("html body main article section div header footer nav aside ul ol dl table thead tbody tfoot tr td th figure figcaption form".split())
-_KINDS = {**{f"h{n}": "Heading" for n in range(1, 7)}, "p": "Paragraph", "li": "ListItem", "dt": "ListItem", "dd": "Paragraph", "blockquote": "BlockQuote", "pre": "CodeFence"}
+_HOLDERS = frozenset("html body main article section div header footer nav aside ul ol menu dl table thead tbody tfoot tr td th caption figure figcaption".split())
+_KINDS = {**{f"h{n}": "Heading" for n in range(1, 7)}, "p": "Paragraph", "li": "ListItem", "dt": "Paragraph", "dd": "Paragraph", "blockquote": "BlockQuote", "pre": "CodeFence"}
 _EMPTY = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 
 
@@ -275,7 +316,7 @@ class _Blocks(HTMLParser):
 
 def html_blocks(text: str) -> tuple[str | None, list[dict]]:
     """Blocks of headings, paragraphs, items, quotes and preformatted text, and of what is left in containers; hidden elements
-    are left out. The title is that of the page or its first first-level heading. Offsets are those of the joined text."""
+    are left out. The title is that of the page alone. Offsets are those of the joined text."""
     page = _Blocks()
     page.feed(text)
     page.close()
@@ -287,11 +328,10 @@ def html_blocks(text: str) -> tuple[str | None, list[dict]]:
         n = len(body.encode())
         out.append({"kind": kind, "text": body, "offset": at, "length": n, "heading_path": path, "attrs": {}})
         at += n + 2
-    title = re.sub(r"\s+", " ", page.title).strip() or next((b for k, b, p in page.blocks if k == "Heading" and len(p) == 1), None)
-    return title, out
+    return re.sub(r"\s+", " ", page.title).strip() or None, out
 
 
-EXTRACTORS: dict[str, Callable[[str], tuple[str | None, list[dict]]]] = {"txt": plaintext_blocks, "md": markdown_blocks, "html": html_blocks, "code": code_blocks}
+EXTRACTORS: dict[str, Callable[[str], tuple[str | None, list[dict]]]] = {"txt": plaintext_blocks, "md": markdown_blocks, "html": html_blocks, "code": code_blocks, "pdf": pdf_paragraphs}
 
 
 def canonical(blocks: list[dict]) -> tuple[str, list[dict]]:
@@ -311,18 +351,32 @@ def canonical(blocks: list[dict]) -> tuple[str, list[dict]]:
     return "\n\n".join(b["text"] for b in out), out
 
 
-def extract_documents(files: DataFrame) -> DataFrame:
-    """(doc_id, title, text, blocks) of files (doc_id, extractor_key, text): canonical documents; null texts and unknown
-    extractors give none. Extra columns are left out."""
+def extract_documents(files: DataFrame, extractors: dict[str, Callable[[str], tuple[str | None, list[dict]]]] | None = None) -> DataFrame:
+    """(doc_id, title, text, blocks, error) of files (doc_id, extractor_key, text, and optionally content and path): canonical documents.
+
+    ``extractors`` add to or replace the registered ones. PDF files are read from ``content`` where there is any, else their ``text`` is
+    taken as extracted already; code gets the extension of ``path`` as its language. Null texts without content and unknown extractors give
+    none; a file whose extractor fails gives a row with an error and no text. Extra columns are left out.
+    """
+    known = EXTRACTORS | (extractors or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                title, blocks = EXTRACTORS[r.extractor_key](r.text)
-                text, blocks = canonical(blocks)
-                rows.append((r.doc_id, title, text, blocks))
-            yield pd.DataFrame(rows, columns=["doc_id", "title", "text", "blocks"])
-
-    known = files.where(F.col("text").isNotNull() & F.col("extractor_key").isin(list(EXTRACTORS))).select("doc_id", "extractor_key", "text")
-    return known.mapInPandas(run, f"doc_id bigint, title string, text string, blocks array<{BLOCK}>")
+                try:
+                    if r.extractor_key == "pdf" and r.content is not None:
+                        title, blocks = pdf_blocks(bytes(r.content))
+                    elif r.extractor_key == "code" and r.path and "code" not in (extractors or {}):
+                        title, blocks = code_blocks(r.text, r.path.rsplit(".", 1)[-1].lower() if "." in r.path.rsplit("/", 1)[-1] else "")
+                    else:
+                        title, blocks = known[r.extractor_key](r.text)
+                    text, blocks = canonical(blocks)
+                    rows.append((r.doc_id, title, text, blocks, None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((r.doc_id, None, None, None, str(e)[:500] or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["doc_id", "title", "text", "blocks", "error"])
+
+    have = [F.col(c) if c in files.columns else F.lit(None).cast(t).alias(c) for c, t in (("content", "binary"), ("path", "string"))]
+    wanted = files.where((F.col("text").isNotNull() | ((F.col("extractor_key") == "pdf") & have[0].isNotNull())) & F.col("extractor_key").isin(list(known))).select("doc_id", "extractor_key", "text", *have)
+    return wanted.mapInPandas(run, f"doc_id bigint, title string, text string, blocks array<{BLOCK}>, error string")

@@ -565,7 +565,7 @@ def _extracted(spark, d):
     from lodeweir.operators.extract import extract_documents
 
     t = table(spark, d, "document_texts").where("doc_id is not null").dropDuplicates(["doc_id"])
-    return extract_documents(t.select("doc_id", F.when(F.col("extractor_key") == "pdf", "txt").otherwise(F.col("extractor_key")).alias("extractor_key"), "text")), t.select("doc_id", "extractor_key")
+    return extract_documents(t.select("doc_id", "extractor_key", "text")).where("error is null"), t.select("doc_id", "extractor_key")
 
 
 @query()

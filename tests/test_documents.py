@@ -1,12 +1,14 @@
 """Extractors, canonical documents, chunks, files, evaluation sets, reads."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodeweir.functions import text as T
 from lodeweir.operators import catalog as C
 from lodeweir.operators.chunking import ChunkPolicy, chunk_blocks, count_tokens, generation_key, resolve_policy, token_windows
-from lodeweir.operators.extract import canonical, extract_documents, html_blocks, markdown_blocks, pdf_paragraphs, plaintext_blocks
+from lodeweir.operators.extract import canonical, extract_documents, extractor_for, html_blocks, markdown_blocks, pdf_paragraphs, plaintext_blocks
 from lodeweir.operators.reads import budgeted_take
 from lodeweir.plans.engine import embed_backlog, get_documents, snippet
 from lodeweir.sources import evalsets, files
@@ -43,7 +45,8 @@ def test_html():
     title, b = html_blocks(page)
     assert title == "T & x"
     assert kinds(b) == [("Heading", "One"), ("Paragraph", "a"), ("Paragraph", "b c"), ("ListItem", "i"), ("ListItem", "j"), ("CodeFence", "k\n l"), ("Paragraph", "rest")]
-    assert html_blocks("") == (None, [])
+    assert html_blocks("") == (None, []) and html_blocks("<h1>Only</h1>")[0] is None
+    assert kinds(html_blocks("<dl><dt>t</dt><dd>d</dd></dl><table><caption>c</caption><tr><td>x</td></tr></table>")[1]) == [("Paragraph", x) for x in "tdcx"]
 
 
 def test_chunks_are_slices_within_limits():
@@ -62,6 +65,24 @@ def test_chunks_are_slices_within_limits():
 def test_extract_documents(spark):
     df = spark.createDataFrame([(1, "md", "# T\nx", 0), (2, "txt", None, 0), (3, "odd", "x", 0), (4, "code", "", 0)], "doc_id bigint, extractor_key string, text string, blocks int")
     assert {r.doc_id: (r.title, r.text) for r in extract_documents(df).collect()} == {1: ("T", "# T\n\nx"), 4: (None, "")}
+    pdf = pdf_file("BT (One \\(1\\)) Tj T* [(two) -300 (th) 5 (ree)] TJ ET", "BT <66> Tj T* T* (last) Tj ET")
+    df = spark.createDataFrame([(1, "pdf", None, pdf, "a.pdf"), (2, "pdf", None, b"%PDF-1.4 nothing", "b.pdf"), (3, "code", "x = 1", None, "a/b.PY"), (4, "pdf", "p\n\nq", None, "c.pdf")], "doc_id bigint, extractor_key string, text string, content binary, path string")
+    out = {r.doc_id: r for r in extract_documents(df).collect()}
+    assert out[1].text == "One (1)\ntwo three\n\nf\n\nlast" and out[2].text is None and "no text" in out[2].error
+    assert out[3].blocks[0].attrs == {"language": "py"} and out[4].text == "p\n\nq"
+    assert extractor_for("x/A.Kt") == "code" and extractor_for("x.sql") is None and extractor_for("y.PDF") == "pdf"
+
+
+def pdf_file(*pages):
+    out = b"%PDF-1.4\n"
+    for k, page in enumerate(pages):
+        body = page.encode("cp1252")
+        head = b"<< /Length %d >>" % len(body)
+        if k == 0:
+            body = zlib.compress(body)
+            head = b"<< /Length %d /Filter /FlateDecode >>" % len(body)
+        out += b"%d 0 obj\n" % (k + 1) + head + b"\nstream\n" + body + b"\nendstream\nendobj\n"
+    return out
 
 
 def test_token_windows(spark):
@@ -83,10 +104,17 @@ def test_walk_and_ignore(spark, tmp_path):
     found = files.list_files(spark, str(tmp_path), patterns="*.log\n# c\n!keep.log\n")
     assert {r.rel_path for r in found.collect()} == {"a.md", "sub/b.txt", "sub/keep.log", "bin.md"}
     assert {r.rel_path for r in files.list_files(spark, str(tmp_path), [" .MD "]).collect()} == {"a.md", "bin.md"}
-    texts = {r.rel_path: r.text for r in files.read_files(spark, found, str(tmp_path)).collect()}
+    texts = {r.rel_path: r.text for r in files.read_files(found).collect()}
     assert texts["a.md"] == "a.md" and texts["bin.md"] is None
     assert files.count_ignore_patterns("a\n\n#b\n") == 1 and files.remove_ignore_pattern("a\nb\n", "a") == "b\n" and files.add_ignore_pattern("a\n", "a") == "a\n"
     assert files.disk_usage(spark, str(tmp_path)) > 0
+    (tmp_path / "sub/.gitignore").write_text("*.txt\n/deep/\n")
+    for name in ("sub/deep/n.md", "other/deep/n.md", "x.LOCK", "coverage/a.md", ".idea/k.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert {r.rel_path for r in files.walk_collection(spark, str(tmp_path), ["md", "txt", "lock"]).collect()} == {"a.md", "bin.md", "other/deep/n.md", ".idea/k.md"}
+    paths = spark.createDataFrame([("a/b",), ("ab",), ("a",)], "p string")
+    assert [r[0] for r in paths.select(files.under_failed_walk("p", ["a"])).collect()] == [True, False, True]
 
 
 def test_beir_and_manifest(spark, tmp_path):
