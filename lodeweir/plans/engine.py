@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodeweir.functions import text as T
 from lodeweir.operators import catalog as C
 from lodeweir.operators import search as S
+from lodeweir.operators.maintenance import checked_scores
 from lodeweir.session import materialize
 
 MODES = ("keyword", "semantic", "auto", "deep")
@@ -44,6 +45,26 @@ class SearchOptions:
         return max(self.limit * (2 if self.mode == "deep" else 1), S.MIN_CANDIDATES if self.mode in ("auto", "deep") or self.reranks() else self.limit)
 
 
+@dataclass
+class Pipeline:
+    """The steps that a search can run, and why others are left out."""
+
+    keyword: bool
+    dense: bool
+    expansion: bool
+    rerank: bool
+    notices: list[tuple[str, str]]
+
+    def effective_mode(self, mode: str) -> str:
+        """An automatic search without vectors and reranking is a keyword search."""
+        return "keyword" if mode == "auto" and not (self.dense or self.rerank) else mode
+
+
+def tool_reranks(mode: str, no_rerank: bool | None = None) -> bool:
+    """Whether a search asked for by a tool reranks: as it says, else not in automatic mode."""
+    return mode != "auto" if no_rerank is None else not no_rerank
+
+
 @dataclass
 class Models:
     """Pluggable models; each may be missing. They get pandas series and are applied in Arrow batches."""
@@ -91,6 +112,19 @@ class Engine:
         if self.vectors is not None and "collection_name" not in self.vectors.columns:
             self.vectors = self.vectors.join(self.entries.select("chunk_id", "space_name", "collection_name", "active"), "chunk_id")
 
+    def pipeline(self, opt: SearchOptions) -> Pipeline:
+        """The steps of a search with these options; what is not configured is told in a notice."""
+        asks_dense = opt.mode in ("semantic", "auto", "deep")
+        dense = asks_dense and (opt.mode == "semantic" or (self.models.embed is not None and self.vectors is not None))
+        notices = [("dense", "not configured")] if asks_dense and not dense else []
+        expansion = opt.mode == "deep" and self.models.expand is not None
+        if opt.mode == "deep" and not expansion:
+            notices.append(("expansion", "not configured"))
+        rerank = opt.reranks() and self.models.rerank is not None
+        if opt.reranks() and not rerank:
+            notices.append(("rerank", "not configured"))
+        return Pipeline(opt.mode in ("keyword", "auto", "deep"), dense, expansion, rerank, notices)
+
     def _embedded(self, queries: DataFrame) -> DataFrame:
         if "vector" in queries.columns:
             return queries.select("qid", "vector")
@@ -156,7 +190,7 @@ class Engine:
         body = T.contextual_text(T.retrieval_body("retrieval_prefix", "text"), F.coalesce("doc_title", F.lit("")), F.coalesce("heading", F.lit("")))
         inputs = picks.join(self.entries.select("chunk_id", body.alias("document")), "chunk_id").join(queries.select("qid", F.col("text").alias("query")), "qid")
         model = self.models.rerank
-        score = F.pandas_udf(lambda q, doc: model(q, doc).clip(0.0, 1.0), "double")
+        score = F.pandas_udf(lambda q, doc: pd.Series(checked_scores(list(enumerate(map(float, model(q, doc)))), len(q)), dtype="float64"), "double")
         scored = inputs.select("qid", "doc_id", score("query", "document").alias("reranker"))
         done = S.apply_rerank(positions.select("qid", "position", "doc_id", "chunk_id", "fusion"), scored)
         return rows.drop("rank", "score").join(done.select("qid", "chunk_id", "reranker", F.col("final_score").alias("score"), "rank"), ["qid", "chunk_id"])

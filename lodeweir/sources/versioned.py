@@ -165,6 +165,18 @@ class VersionedTable:
         joined.select(F.explode(actions).alias("a")).select("a.*").write.option("compression", "zstd").partitionBy("kind").parquet(folder)
         return self._commit(base + 1, self._files(f"{folder}/kind=data", ".parquet"), [], self._files(f"{folder}/kind=vector", ".parquet"), properties or {})
 
+    def replace_where(self, gone: DataFrame, on: list[str], rows: DataFrame | None = None, properties: dict | None = None) -> int:
+        """Commit the deletion of all records whose ``on`` is in ``gone``, and ``rows`` as new files, in one version."""
+        base, folder, vectors, added = self.latest(), f"{self.root}/data/{uuid.uuid4().hex}", [], []
+        if base:
+            hit = self.snapshot(base, positions=True).join(broadcast_if_small(gone.select(*on).distinct(), SMALL_MERGE), on, "left_semi")
+            hit.select(F.col(FILE).alias("file"), F.col(POSITION).alias("position")).write.option("compression", "zstd").parquet(f"{folder}-vectors")
+            vectors = self._files(f"{folder}-vectors", ".parquet")
+        if rows is not None:
+            rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.option("compression", "zstd").parquet(folder)
+            added = self._files(folder, ".parquet")
+        return self._commit(base + 1, added, [], vectors, properties or {})
+
     # -- reading
 
     def _read(self, files: list[str], schema: T.StructType | str, positions: bool = False) -> DataFrame:
