@@ -180,3 +180,36 @@ def neighbor_context(chunks: DataFrame, hits: DataFrame, window: int = 1) -> Dat
     near = spots.join(own.select("doc_id", "seq", "text", F.col("chunk_id").alias("_c")), ["doc_id", "seq"])
     parts = F.array_sort(F.collect_list(F.struct("seq", "_c", "text")))
     return near.groupBy(F.col("hit").alias("chunk_id"), "doc_id", F.col("at").alias("seq")).agg(F.count("*").alias("neighbors"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("context"))
+
+
+def documents_in(document_rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Current documents of a list of ids (doc_id); the rows are reduced before they are aggregated."""
+    return current_documents(document_rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
+def documents_at(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents by (collection_id, path)."""
+    return documents.join(wanted.select("collection_id", "path").distinct(), ["collection_id", "path"], "left_semi")
+
+
+def texts_for(documents: DataFrame, texts: DataFrame, strict: bool = False) -> DataFrame:
+    """(doc_id, has_text, text, generation_key, extractor_key) of documents (doc_id); with ``strict`` a missing text is an error."""
+    own = texts.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("text", "generation_key", "extractor_key")).alias("x"))
+    out = documents.select("doc_id").distinct().join(own, "doc_id", "left").select("doc_id", F.col("x").isNotNull().alias("has_text"), "x.text", "x.generation_key", "x.extractor_key")
+    if strict:
+        lost = out.where("not has_text").head(1)
+        if lost:
+            raise ValueError(f"document {lost[0]['doc_id']} has no text")
+    return out
+
+
+def space_info(document_rows: DataFrame, chunks: DataFrame, collections: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(space_name, collections, documents, chunks, embedded) of every space with a live collection."""
+    per = collection_info(document_rows, chunks, collections, embeddings).join(live_collections(collections).select("collection_id", "space_name"), "collection_id")
+    return per.groupBy("space_name").agg(F.count("*").alias("collections"), *[F.sum(c).alias(c) for c in ("documents", "chunks", "embedded")])
+
+
+def collection_info(document_rows: DataFrame, chunks: DataFrame, collections: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(collection_id, collection_name, documents, active_documents, chunks, embedded) of every live collection."""
+    n = file_list(document_rows, chunks, embeddings).groupBy("collection_id").agg(F.count("*").alias("documents"), F.count_if(F.coalesce("active", F.lit(False))).alias("active_documents"), F.sum("chunks").alias("chunks"), F.sum("embedded").alias("embedded"))
+    return live_collections(collections).select("collection_id", "collection_name").join(n, "collection_id", "left").fillna(0, ["documents", "active_documents", "chunks", "embedded"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -230,13 +231,13 @@ def upsert_documents(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT DISTINCT doc_id, seq - 1 AS lo, seq + 1 AS hi FROM chunks WHERE chunk_id IS NOT NULL AND chunk_id % 3 = 0),
+    """WITH r AS (SELECT DISTINCT doc_id, seq - 1 AS lo, seq + 1 AS hi FROM chunks WHERE chunk_id IS NOT NULL AND kind = 'section'),
 m AS (SELECT *, max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
 i AS (SELECT *, sum(CASE WHEN lo <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY lo, hi) AS island FROM m) SELECT doc_id, min(lo)::BIGINT AS lo, max(hi)::BIGINT AS hi FROM i GROUP BY doc_id, island"""
 )
 def seq_range_coalesce(spark, d):
     """Neighbour ranges of hits, merged."""
-    hits = C.distinct_chunks(table(spark, d, "chunks")).where("chunk_id % 3 = 0")
+    hits = C.distinct_chunks(table(spark, d, "chunks")).where("kind = 'section'")
     return C.coalesced_seq_ranges(hits.select("doc_id", (F.col("seq") - 1).cast("bigint").alias("lo"), (F.col("seq") + 1).cast("bigint").alias("hi")))
 
 
@@ -605,10 +606,15 @@ def token_windows(spark, d):
 
 @query("SELECT doc_id, i - 1 AS paragraph, trim(p, chr(10)) AS text FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n[ \\t]*(?:\\n[ \\t]*)+'), lambda p: trim(p, chr(10) || ' ' || chr(9)) <> '') AS l FROM documents WHERE text IS NOT NULL))")
 def paragraph_split(spark, d):
-    """Paragraphs of all documents, native."""
-    parts = F.filter(F.split("text", r"\n[ \t]*(?:\n[ \t]*)+"), lambda p: F.trim(p, F.lit("\n \t")) != "")
-    df = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(parts).alias("paragraph", "p"))
-    return df.select("doc_id", F.col("paragraph").cast("bigint").alias("paragraph"), F.trim(F.col("p"), F.lit("\n")).alias("text"))
+    """Paragraphs of all documents, by the plain-text extractor."""
+    from lodeweir.operators.extract import plaintext_blocks
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, k, b["text"]) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for k, b in enumerate(plaintext_blocks(t)[1])]
+            yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "text"])
+
+    return table(spark, d, "documents").where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, paragraph bigint, text string")
 
 
 # -- freshness
@@ -625,14 +631,6 @@ def debounce_sessions(spark, d):
     return quiet_sessions(table(spark, d, "events"), "user_id", "ts", 21_600_000)
 
 
-@query()
-def keyword_due_with_cap(spark, d):
-    """Refreshes after six quiet hours, or a day after the first change."""
-    from lodeweir.streaming.watch import due_refreshes
-
-    return due_refreshes(table(spark, d, "events"), "user_id", "ts", 21_600_000, 86_400_000)
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS changes FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def change_windows(spark, d):
     """Events per hour and type."""

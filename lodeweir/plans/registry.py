@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweir.plans import core_queries, core_sql, reference_queries
+from lodeweir.plans import core_queries, core_sql, more_queries, reference_queries  # noqa: F401, more_queries registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
