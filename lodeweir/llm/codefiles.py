@@ -32,8 +32,9 @@ _SAYS_VENDORED = re.compile(
 _COMMENT = re.compile(r"^\s*(?://|#(?!include|!|define|pragma|if|endif)|/\*|\*|--|;|\"\"\"|'''|<!--)(.*)")
 #: Grammar size per token below which a file's uniform content shows a tool; fewest tokens and lines for that.
 UNIFORM_RATIO, UNIFORM_TOKENS = 0.35, 60
-#: Numbers among words and numbers, and share of characters in incompressible literals, of files that are data.
-DATA_NUMBERS, DATA_OPAQUE = 0.4, 0.5
+#: Share of a file's characters in literals, and size of the literals' grammar beside that of the same characters in random
+#: order, of files that are data: literals that no rule makes smaller.
+DATA_LITERALS, DATA_RANDOM = 0.3, 0.7
 #: Share of the entropy of random digits that a literal without structure has.
 RANDOM_SHARE = 0.9
 #: White space per character, and share of one-letter names, of minified files.
@@ -168,18 +169,21 @@ def header_says(text: str) -> tuple[bool, bool]:
 def file_features(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
     """(features per file, its long rules) of a batch of files."""
     symbols: list[str] = []
+    literals: list[str] = []
     lengths, rows = [], []
     for text in texts:
         toks = _TOKEN.findall(text)
         numbers = names = single = opaque = 0
-        out = []
+        out, own = [], []
         for t in toks:
             c = t[0]
             if is_opaque(t):
                 opaque += len(t)
+                own.append(t)
                 out.append("#B")
             elif c.isdigit():
                 numbers += 1
+                own.append(t)
                 out.append("#N")
             elif c.isalpha() or c == "_":
                 names += 1
@@ -188,21 +192,37 @@ def file_features(texts: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
             else:
                 out.append(t)
         symbols += out
+        literals.append("\n".join(own))
         lengths.append(len(out))
         spaces = text.count(" ") + text.count("\n") + text.count("\t")
         lines = [x for x in text.split("\n") if x.strip()]
         says = header_says(text)
-        rows.append((len(text), len(lines), len(out), numbers / max(1, numbers + names), opaque / max(1, len(text) - spaces), spaces / max(1, len(text)), single / max(1, names), *says))
-    features = pd.DataFrame(rows, columns=["chars", "lines", "tokens", "number_share", "opaque_share", "space_share", "single_share", "says_generated", "says_vendored"])
+        rows.append((len(text), len(lines), len(out), numbers / max(1, numbers + names), opaque / max(1, len(text) - spaces), sum(map(len, own)) / max(1, len(text) - spaces), spaces / max(1, len(text)), single / max(1, names), *says))
+    features = pd.DataFrame(rows, columns=["chars", "lines", "tokens", "number_share", "opaque_share", "literal_share", "space_share", "single_share", "says_generated", "says_vendored"])
     codes, values = pd.factorize(np.array(symbols, dtype=object)) if symbols else (np.zeros(0, "int64"), np.array([]))
     hashes = pd.util.hash_array(np.asarray(values, dtype=object), categorize=False) if len(values) else np.zeros(0, "uint64")
     files = np.repeat(np.arange(len(texts)), lengths)
     final, n_rules, rules = repair(hashes[codes] if len(symbols) else np.zeros(0, "uint64"), files)
     features["grammar"] = (np.r_[final, np.zeros(len(texts) - len(final), "int64")] + 2 * np.r_[n_rules, np.zeros(len(texts) - len(n_rules), "int64")]) / np.maximum(features["tokens"], 1)
+    features["literal_ratio"] = incompressibility(literals)
     return features, rules
 
 
-_FEATURES = "doc_id bigint, chars bigint, lines bigint, tokens bigint, number_share double, opaque_share double, space_share double, single_share double, says_generated boolean, says_vendored boolean, grammar double, rules array<bigint>"
+def incompressibility(literals: list[str]) -> np.ndarray:
+    """Size of the Re-Pair grammar of each text's characters beside that of the same characters in a random, fixed order: near 1
+    where nothing repeats, 0 for empty texts."""
+    coded = [np.frombuffer(x.encode(), np.uint8) for x in literals]
+    mixed = [np.random.default_rng(len(x)).permutation(x) for x in coded]
+    files = np.repeat(np.arange(len(coded)), [len(x) for x in coded])
+    sizes = []
+    for sequences in (coded, mixed):
+        final, n_rules, _ = repair(_mix(np.concatenate([*sequences, np.zeros(0, np.uint8)]).astype("uint64") + _M1, _M2), files)
+        more = np.zeros(len(coded) - len(final), "int64")
+        sizes.append(np.r_[final, more] + 2 * np.r_[n_rules, more])
+    return sizes[0] / np.maximum(sizes[1], 1)
+
+
+_FEATURES = "doc_id bigint, chars bigint, lines bigint, tokens bigint, number_share double, opaque_share double, literal_share double, space_share double, single_share double, says_generated boolean, says_vendored boolean, grammar double, literal_ratio double, rules array<bigint>"
 
 
 def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +246,7 @@ def classify_code(document_texts: DataFrame, document_rows: DataFrame) -> DataFr
 
     Kinds, the first that applies: ``generated`` (the grammar is small against the file, its rules being used over and
     over, or its first or last comments say so), ``minified`` (hardly any white space, names of one letter), ``data``
-    (mainly numbers or long literals without structure), ``vendored`` (a folder or banner of another package,
+    (much of it numbers and long literals that a grammar of their characters does not make smaller than chance), ``vendored`` (a folder or banner of another package,
     or rules most of which other repositories have too). The path and the repository (collection) are those of the
     newest row of the document; records without one are judged by their text. Null texts and other extractors are left
     out; of repeated rows of a doc_id one counts.
@@ -242,7 +262,13 @@ def classify_code(document_texts: DataFrame, document_rows: DataFrame) -> DataFr
     full = placed.drop("rules").join(shared, "doc_id", "left")
     generated = ((F.col("grammar") < UNIFORM_RATIO) & (F.col("tokens") >= UNIFORM_TOKENS)) | F.col("says_generated")
     minified = (F.col("space_share") < MINIFIED_SPACE) & (F.col("single_share") >= MINIFIED_NAMES)
-    data = (F.col("number_share") >= DATA_NUMBERS) | (F.col("opaque_share") >= DATA_OPAQUE)
-    copied = F.coalesce(vendored_path("path"), F.lit(False)) | F.col("says_vendored") | F.coalesce((F.col("shared_share") >= SHARED_SHARE) & (F.col("long_rules") >= SHARED_RULES), F.lit(False))
+    uniform = (F.col("grammar") < UNIFORM_RATIO) & (F.col("tokens") >= UNIFORM_TOKENS)
+    data = (F.col("literal_share") >= DATA_LITERALS) & (F.col("literal_ratio") >= DATA_RANDOM)
+    shared = F.coalesce((F.col("shared_share") >= SHARED_SHARE) & (F.col("long_rules") >= SHARED_RULES), F.lit(False))
+    copied = F.coalesce(vendored_path("path"), F.lit(False)) | F.col("says_vendored") | shared
     kind = F.when(data, "data").when(minified, "minified").when(generated, "generated").when(copied, "vendored")
-    return full.select("doc_id", "path", kind.alias("kind"), "grammar", "number_share", "opaque_share", "space_share", "single_share", "says_generated", "says_vendored", "shared_share", "long_rules", "tokens")
+    reason = (
+        F.when(data, "incompressible literals").when(minified, "spacing and names").when(uniform, "rule reuse").when(F.col("says_generated"), "banner")
+        .when(shared, "shared rules").when(F.coalesce(vendored_path("path"), F.lit(False)), "folder").when(F.col("says_vendored"), "banner")
+    )
+    return full.select("doc_id", "path", kind.alias("kind"), reason.alias("reason"), "grammar", "literal_share", "literal_ratio", "number_share", "opaque_share", "space_share", "single_share", "says_generated", "says_vendored", "shared_share", "long_rules", "tokens")

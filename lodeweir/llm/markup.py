@@ -89,10 +89,10 @@ class _Page(HTMLParser):
         self.skipped: list[str] = []
 
     def path(self) -> str:
-        return "/".join(s for s, t in self.stack[-4:] if t in _CONTAINERS) or "(text)"
+        return "/".join(s for s, t in self.stack if t in _CONTAINERS) or "(text)"
 
     def handle_starttag(self, tag, attrs):
-        if tag in _VOID or (tag == "p" and False):
+        if tag in _VOID:
             if tag in ("br", "hr"):
                 self.out.append("\n")
             elif tag == "img":

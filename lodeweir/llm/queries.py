@@ -101,6 +101,12 @@ def p7_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _code(spark, d).groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind")).agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.round(F.avg("grammar"), 6).alias("grammar"))
 
 
+@_query
+def p7_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged code records by kind and by what flagged them."""
+    return _code(spark, d).where("kind is not null").groupBy("kind", "reason").agg(F.count("*").alias("files"))
+
+
 @_query
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every document in containers of every capacity."""
