@@ -212,8 +212,8 @@ def incompressibility(literals: list[str]) -> np.ndarray:
     """Size of the Re-Pair grammar of each text's characters beside that of the same characters in a random, fixed order: near 1
     where nothing repeats, 0 for empty texts."""
     coded = [np.frombuffer(x.encode(), np.uint8) for x in literals]
-    mixed = [np.random.default_rng(len(x)).permutation(x) for x in coded]
-    files = np.repeat(np.arange(len(coded)), [len(x) for x in coded])
+    mixed = [np.random.default_rng(len(x)).permutation(x.copy()) for x in coded]
+    files = np.repeat(np.arange(len(coded)), np.array([len(x) for x in coded], "int64"))
     sizes = []
     for sequences in (coded, mixed):
         final, n_rules, _ = repair(_mix(np.concatenate([*sequences, np.zeros(0, np.uint8)]).astype("uint64") + _M1, _M2), files)
@@ -246,7 +246,7 @@ def classify_code(document_texts: DataFrame, document_rows: DataFrame) -> DataFr
 
     Kinds, the first that applies: ``generated`` (the grammar is small against the file, its rules being used over and
     over, or its first or last comments say so), ``minified`` (hardly any white space, names of one letter), ``data``
-    (much of it numbers and long literals that a grammar of their characters does not make smaller than chance), ``vendored`` (a folder or banner of another package,
+    (much of it numbers and long literals that a grammar of their characters does not make smaller than chance, or that repeat in a small grammar of the whole file), ``vendored`` (a folder or banner of another package,
     or rules most of which other repositories have too). The path and the repository (collection) are those of the
     newest row of the document; records without one are judged by their text. Null texts and other extractors are left
     out; of repeated rows of a doc_id one counts.
@@ -263,12 +263,13 @@ def classify_code(document_texts: DataFrame, document_rows: DataFrame) -> DataFr
     generated = ((F.col("grammar") < UNIFORM_RATIO) & (F.col("tokens") >= UNIFORM_TOKENS)) | F.col("says_generated")
     minified = (F.col("space_share") < MINIFIED_SPACE) & (F.col("single_share") >= MINIFIED_NAMES)
     uniform = (F.col("grammar") < UNIFORM_RATIO) & (F.col("tokens") >= UNIFORM_TOKENS)
-    data = (F.col("literal_share") >= DATA_LITERALS) & (F.col("literal_ratio") >= DATA_RANDOM)
+    random = F.col("literal_ratio") >= DATA_RANDOM
+    data = (F.col("literal_share") >= DATA_LITERALS) & (random | uniform)  # a table of repeated numbers has a small grammar instead
     shared = F.coalesce((F.col("shared_share") >= SHARED_SHARE) & (F.col("long_rules") >= SHARED_RULES), F.lit(False))
     copied = F.coalesce(vendored_path("path"), F.lit(False)) | F.col("says_vendored") | shared
     kind = F.when(data, "data").when(minified, "minified").when(generated, "generated").when(copied, "vendored")
     reason = (
-        F.when(data, "incompressible literals").when(minified, "spacing and names").when(uniform, "rule reuse").when(F.col("says_generated"), "banner")
+        F.when(data & random, "incompressible literals").when(data, "rule reuse").when(minified, "spacing and names").when(uniform, "rule reuse").when(F.col("says_generated"), "banner")
         .when(shared, "shared rules").when(F.coalesce(vendored_path("path"), F.lit(False)), "folder").when(F.col("says_vendored"), "banner")
     )
     return full.select("doc_id", "path", kind.alias("kind"), reason.alias("reason"), "grammar", "literal_share", "literal_ratio", "number_share", "opaque_share", "space_share", "single_share", "says_generated", "says_vendored", "shared_share", "long_rules", "tokens")
