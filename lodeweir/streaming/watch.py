@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweir.sources.files import IGNORED_DIRS
+
 #: Fixed values, in milliseconds: quiet time before and longest delay of a keyword refresh, quiet time of a semantic one, backoffs.
 KEYWORD_QUIET, KEYWORD_CAP, SEMANTIC_QUIET = 30_000, 300_000, 300_000
 ERROR_BACKOFF, UNAVAILABLE_BACKOFF, BLOCK_BACKOFF = 60_000, 600_000, 3_600_000
 LEAST_INTERVAL_MINUTES = 5
+#: Fixed values, in milliseconds: between safety scans with events, between polls without.
+SCAN_INTERVAL, POLL_INTERVAL = 3_600_000, 300_000
 
 
 def quiet_sessions(events: DataFrame, key: str, ts: str, quiet_ms: int) -> DataFrame:
@@ -182,6 +186,106 @@ class RefreshScheduler:
         self.blocked[space] = now + BLOCK_BACKOFF
 
 
+    def all_dirty(self, targets: list[tuple[str, str]], now: int) -> None:
+        """Everything may have changed, as after lost events."""
+        for t in targets:
+            self.mark_dirty(t, now)
+
+
+@dataclass
+class Watcher:
+    """A scheduler over a source of events: routes changed paths, falls back to scans where events were lost, runs what is due.
+
+    ``roots`` maps (space, collection) to the folder of a collection. ``update`` refreshes keyword indexes, ``embed`` vectors;
+    ``scan`` tells which collections a detection scan finds changed. All clocks are the caller's.
+    """
+
+    roots: dict[tuple[str, str], str]
+    update: Callable[[tuple[str, str]], object]
+    embed: Callable[[tuple[str, str]], object]
+    scan: Callable[[], list[tuple[str, str]]] = lambda: []
+    scheduler: RefreshScheduler = field(default_factory=RefreshScheduler)
+    native: bool = True
+    next_scan: int = 0
+    last_error: str | None = None
+
+    def route(self, path: str) -> tuple[str, str] | None:
+        """The collection with the longest root above a path; paths in ignored folders and ignored files have none."""
+        hits = [(len(r), t) for t, r in self.roots.items() if path == r or path.startswith(r.rstrip("/") + "/")]
+        if not hits:
+            return None
+        target = max(hits)[1]
+        below = path[len(self.roots[target].rstrip("/")) + 1 :].split("/")
+        if any(p.lower() in IGNORED_DIRS for p in below[:-1]) or below[-1] == ".DS_Store" or below[-1].lower().endswith(".lock"):
+            return None
+        return target
+
+    def events(self, paths: list[str] | None, now: int) -> None:
+        """Changed paths; None says that events were lost: from then on scans look for changes, and everything is dirty."""
+        if paths is None:
+            self.native, self.last_error = False, "events were lost"
+            self.scheduler.all_dirty(list(self.roots), now)
+            return
+        for target in filter(None, map(self.route, paths)):
+            self.scheduler.mark_dirty(target, now)
+
+    def tick(self, now: int, pending: dict[tuple[str, str], int], rng: random.Random) -> list[tuple[str, tuple[str, str]]]:
+        """Scan if it is time (at the start, then hourly with jitter, every five minutes without events), and run what is due."""
+        if now >= self.next_scan:
+            for t in self.scan():
+                self.scheduler.mark_dirty(t, now)
+            self.next_scan = now + (jittered(SCAN_INTERVAL, rng) if self.native else POLL_INTERVAL)
+        done = self.scheduler.due(now, pending)
+        for action, target in done:
+            if action == "keyword":
+                try:
+                    self.update(target)
+                    self.scheduler.keyword_success(target, now, now)
+                except Exception as e:  # noqa: BLE001
+                    self.last_error = str(e)
+                    self.scheduler.update_error(target, now)
+            else:
+                try:
+                    self.embed(target)
+                    self.scheduler.semantic_success(target)
+                except SpaceBlocked as e:
+                    self.last_error = str(e)
+                    self.scheduler.space_blocked(target[0], now)
+                except Exception as e:  # noqa: BLE001
+                    self.last_error = str(e)
+                    self.scheduler.semantic_unavailable(target, now)
+        return done
+
+
+class SpaceBlocked(RuntimeError):
+    """The vectors of a whole space cannot be refreshed now."""
+
+
+def run_schedule(job: Callable[[], object], lock: Callable[[], object | None], save: Callable[[dict], None], clock: Callable[[], str]) -> dict:
+    """Run a schedule's update now: its state is saved at the start and at the end; where the lock is taken the run is skipped.
+
+    ``lock`` gives an object with ``release``, or None where another operation holds it.
+    """
+    state = {"last_started": clock(), "last_finished": None, "last_result": None, "last_error": None}
+    save(dict(state))
+    held = lock()
+    if held is None:
+        state |= {"last_finished": clock(), "last_result": "skipped_lock"}
+        save(dict(state))
+        return state
+    try:
+        job()
+        state |= {"last_result": "success"}
+    except Exception as e:
+        state |= {"last_result": "failed", "last_error": str(e)}
+        raise
+    finally:
+        held.release()
+        state["last_finished"] = clock()
+        save(dict(state))
+    return state
+
+
 def jittered(interval_ms: int, rng: random.Random, share: float = 0.25) -> int:
     """An interval moved by up to ``share`` either way."""
     return round(interval_ms * (1 + rng.uniform(-share, share)))

@@ -61,3 +61,84 @@ def test_schedules(spark):
     assert {r.id: r.status for r in W.schedule_status(make([("a", "1"), ("b", "1"), ("c", "1")]), make([("a", "1"), ("b", "2"), ("d", "1")])).collect()} == {"a": "installed", "b": "drifted", "c": "missing", "d": "orphan"}
     cat = lambda r: spark.createDataFrame(r, "space_name string, collection_name string, path string")
     assert {r.collection_name: r.change for r in W.sync_catalog(cat([("s", "a", "1"), ("s", "b", "1"), ("s", "c", "1")]), cat([("s", "a", "1"), ("s", "b", "2"), ("s", "d", "1")])).collect()} == {"b": "path_changed", "c": "removed", "d": "added"}
+
+
+def test_watcher():
+    ran = []
+
+    def update(t):
+        ran.append(("k", t))
+        if t == ("s", "b") and len(ran) < 3:
+            raise OSError("busy")
+
+    a, b = ("s", "a"), ("s", "b")
+    w = W.Watcher({a: "/r/a", b: "/r/a/deep"}, update, lambda t: ran.append(("e", t)), scan=lambda: [b])
+    assert w.route("/r/a/x.md") == a and w.route("/r/a/deep/y.md") == b and w.route("/r/a/node_modules/z.md") is None and w.route("/q") is None and w.route("/r/a/Cargo.lock") is None
+    rng = random.Random(1)
+    w.events(["/r/a/x.md"], 0)
+    assert w.tick(0, {}, rng) == [] and 2_700_000 <= w.next_scan <= 4_500_000  # the scan at the start finds b
+    assert w.tick(30_000, {}, rng) == [("keyword", a), ("keyword", b)] and w.last_error == "busy"
+    assert w.tick(60_000, {}, rng) == [] and w.tick(90_000, {}, rng) == [("keyword", b)]  # a minute later
+    assert w.tick(30_000 + 300_000, {a: 2}, rng) == [("semantic", a)] and ran[-1] == ("e", a)
+    w.events(None, 500_000)
+    assert not w.native and sorted(w.scheduler.dirty) == [a, b]
+    w.next_scan = 600_000
+    w.tick(600_000, {}, rng)
+    assert w.next_scan == 900_000
+
+
+def test_run_schedule():
+    saved, times = [], iter("abcdefgh")
+
+    class Lock:
+        free = 0
+
+        def release(self):
+            Lock.free += 1
+
+    run = lambda job, lock: W.run_schedule(job, lock, saved.append, lambda: next(times))
+    assert run(lambda: 1, Lock)["last_result"] == "success" and Lock.free == 1 and saved[0]["last_finished"] is None
+    assert run(lambda: 1, lambda: None)["last_result"] == "skipped_lock"
+    with pytest.raises(ZeroDivisionError):
+        run(lambda: 1 // 0, Lock)
+    assert saved[-1]["last_result"] == "failed" and Lock.free == 2 and saved[-1]["last_finished"] == "f"
+
+
+def test_gateway():
+    import json
+
+    import pandas as pd
+
+    from lodeweir.plans import gateway as g
+
+    answers, waits, restarts = [], [], []
+
+    def send(url, body):
+        x = answers.pop(0) if answers else None
+        if isinstance(x, Exception):
+            raise x
+        if x:
+            return x
+        if url.endswith("embeddings"):
+            return 200, {}, json.dumps({"data": [{"index": i, "embedding": [len(t)]} for i, t in enumerate(body["input"])][::-1]}).encode()
+        if url.endswith("rerank"):
+            return 200, {}, json.dumps({"results": [{"index": i, "relevance_score": len(t) - 1} for i, t in enumerate(body["documents"])]}).encode()
+        return 200, {}, json.dumps({"choices": [{"message": {"content": "- Other words\n QUERY \nother  words\nmore"}}]}).encode()
+
+    e = g.Endpoint("http://h/v1/", send, 1, lambda: restarts.append(1), waits.append)
+    assert e.url("embeddings") == "http://h/v1/embeddings" and g.Endpoint("http://h/rerank", send).url("/rerank") == "http://h/rerank"
+    answers += [(429, {"retry-after": "99"}, b"")]
+    texts = pd.Series(["x" * i for i in range(1, 150)])
+    assert [v[0] for v in g.embedder(e, parallel=2)(texts)] == list(range(1, 150)) and waits == [30]
+    answers += [OSError("gone"), OSError("gone")]
+    assert e.ready() == "ready" and restarts == [1]
+    answers += [(400, {}, b"no")]
+    assert "400" in e.ready()
+    answers += [(503, {}, b""), (503, {}, b"")]
+    with pytest.raises(g.EndpointError):
+        e.post("embeddings", {})
+    assert g.reranker(e, 2)(pd.Series(["q", "p", "q"]), pd.Series(["a", "bb", "ccc"])).tolist() == [0.0, 1.0, 1.0]
+    assert g.expander(g.completion(e))("query", 4) == ["Other words", "more"]
+    with pytest.raises(g.EndpointError):
+        g.in_shards([1, 2, 3], 2, lambda part: [])
+    assert g.in_shards([], 2, list) == []
